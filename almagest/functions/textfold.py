@@ -73,11 +73,18 @@ def composed() -> dict[str, str]:
     return out
 
 
-def _class(chars) -> str:
-    """A Java character class of the given characters, as ranges."""
+#: Blocks of ordinary letters, ideographs and punctuation, which texts are full of.
+_PLAIN = [(0x00, 0x7F), (0xC0, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x2200, 0x22FF), (0x3001, 0x303F), (0x3041, 0x30FE), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1FAFF), (0x20000, 0x2F7FF)]
+
+
+def _class(chars, coarse: bool = False) -> str:
+    """A Java character class of the given characters, as ranges. A coarse one
+    also holds what lies between them outside the plain blocks, which leaves
+    few ranges to test: it serves to pass over texts quickly."""
     cps, parts = sorted(map(ord, chars)), []
+    apart = lambda a, b: any(lo < b and hi > a for lo, hi in _PLAIN)
     for c in cps:
-        if parts and c == parts[-1][1] + 1:
+        if parts and (c == parts[-1][1] + 1 or coarse and not apart(parts[-1][1], c)):
             parts[-1][1] = c
         else:
             parts.append([c, c])
@@ -85,17 +92,23 @@ def _class(chars) -> str:
 
 
 LATIN = r"\p{IsLatin}"
-WORD = r"[\p{L}\p{M}\p{N}]"
+WORD, NOT_WORD = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]"
+
+
+# Greek without the letter mu, which units are full of, and Cyrillic.
+_LIKE_BLOCKS = r"[\x{391}-\x{3bb}\x{3bd}-\x{3f3}\x{405}-\x{52f}]"
 
 
 @functools.cache
 def _patterns() -> dict[str, str]:
-    like = _class(LIKE)
-    return {
-        "suspect": _class([*variant_letters(), *spaces(), *invisibles(), *LIGATURES]),
-        "mixed": f"{LATIN}{WORD}*{like}|{like}{WORD}*{LATIN}",
-        "like": like,
-    }
+    return {"suspect": _class([*variant_letters(), *spaces(), *invisibles(), *LIGATURES], coarse=True), "like": _LIKE_BLOCKS}
+
+
+def beyond_plain() -> str:
+    """A pattern for what is outside the plain blocks. Texts without it are
+    composed after fold_visual, and no two of them are equal under a Unicode
+    collation that tells case and accents apart."""
+    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in _PLAIN) + "]"
 
 
 def _map_literal(d: dict[str, str]) -> Column:
@@ -109,7 +122,7 @@ def is_ascii(c: Column) -> Column:
 
 def _by_word(c: Column) -> Column:
     """Look-alike letters of words that have Latin letters, as Latin ones."""
-    parts = F.regexp_extract_all(c, F.lit(rf"(?s)({WORD}+|(?:(?!{WORD}).)+)"), 1)
+    parts = F.regexp_extract_all(c, F.lit(f"{WORD}+|{NOT_WORD}+"), 0)
     p = _patterns()
     swap = lambda w: F.when(w.rlike(LATIN) & w.rlike(p["like"]), F.translate(w, LIKE, LIKE_AS)).otherwise(w)
     return F.array_join(F.transform(parts, swap), "")
@@ -135,7 +148,7 @@ def _steps(c: Column) -> list:
         return F.when(x.rlike(p["suspect"]), F.translate(one, frm, to)).otherwise(x)
 
     def words(x: Column) -> Column:
-        return F.when(~is_ascii(x) & x.rlike(p["mixed"]), _by_word(x)).otherwise(x)
+        return F.when(~is_ascii(x) & x.rlike(p["like"]), _by_word(x)).otherwise(x)
 
     def accents(x: Column) -> Column:
         return F.when(~is_ascii(x) & x.rlike(r"\p{M}"), _compose(_compose(x))).otherwise(x)
