@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almagest.llm import bpe, mixing
+from almagest.llm import bpe, confusables, mixing
 from almagest.llm.sql import SQL  # noqa: F401
 from almagest.sources.tables import table
 
@@ -40,3 +40,17 @@ def p8_mixture(spark, d):
 
     sizes = cut(mixing.token_sizes(table(spark, d, "documents")))
     return mixing.mixture(sizes, mixing.plan(sizes, table(spark, d, "mix_targets")))
+
+
+def _three(spark, d):
+    return [table(spark, d, n) for n in ("terms", "names", "requests")]
+
+
+@_query
+def p6_found(spark, d):
+    return confusables.found(*_three(spark, d))
+
+
+@_query
+def p6_canonical(spark, d):
+    return confusables.canonical(confusables.values(*_three(spark, d))).select("table_name", "row_key", "canonical")
