@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almagest.llm import bpe, confusables, mixing
+from almagest.llm import bpe, confusables, mixing, segment
 from almagest.llm.sql import SQL  # noqa: F401
 from almagest.sources.tables import table
 
@@ -54,3 +54,13 @@ def p6_found(spark, d):
 @_query
 def p6_canonical(spark, d):
     return confusables.canonical(confusables.values(*_three(spark, d))).select("table_name", "row_key", "canonical")
+
+
+@_query
+def p1_found(spark, d):
+    return segment.found(table(spark, d, "terms"), table(spark, d, "chunk_limits"))
+
+
+@_query
+def p1_pieces(spark, d):
+    return segment.split(table(spark, d, "terms"), table(spark, d, "chunk_limits"))

@@ -1,3 +1,9 @@
 """SQL that DuckDB runs beside the queries of this subpackage, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": """
+        select t.chunk_id from terms t
+        left join chunk_limits l on l.doc_source = coalesce(t.meta.doc_source, 'default')
+        cross join (select max_chars as m from chunk_limits where doc_source = 'default') d
+        where length(t.text) > coalesce(l.max_chars, d.m)""",
+}
