@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almagest.llm import bpe, confusables, mixing, segment
+from almagest.llm import bpe, confusables, mixing, neardup, segment
 from almagest.llm.sql import SQL  # noqa: F401
 from almagest.sources.tables import table
 
@@ -64,3 +64,13 @@ def p1_found(spark, d):
 @_query
 def p1_pieces(spark, d):
     return segment.split(table(spark, d, "terms"), table(spark, d, "chunk_limits"))
+
+
+@_query
+def p2_found(spark, d):
+    return neardup.found(table(spark, d, "terms"))
+
+
+@_query
+def p2_groups(spark, d):
+    return neardup.groups(table(spark, d, "terms"))
