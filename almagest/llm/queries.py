@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almagest.llm import bpe, confusables, mixing, neardup, segment
+from almagest.llm import bpe, confusables, mixing, namematch, neardup, segment
 from almagest.llm.sql import SQL  # noqa: F401
 from almagest.sources.tables import table
 
@@ -74,3 +74,13 @@ def p2_found(spark, d):
 @_query
 def p2_groups(spark, d):
     return neardup.groups(table(spark, d, "terms"))
+
+
+@_query
+def p5_found(spark, d):
+    return namematch.found(*[table(spark, d, n) for n in ("names", "sources", "catalog_aliases")])
+
+
+@_query
+def p5_matches(spark, d):
+    return namematch.matches(*[table(spark, d, n) for n in ("names", "sources", "catalog_aliases")])
