@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.functions.textfold import fold_visual, with_fold
+from almagest.functions.textfold import fold_visual, held, with_fold
 from almagest.session import cut
 
 #: Least Jaccard similarity of the token sets, and most edits between the words of proper names.
@@ -48,15 +48,15 @@ def parsed(df: DataFrame, raw: str) -> DataFrame:
     before it; of a proper name its own words, in alphabetical order) and
     `kind` (of a proper name, where a word says it)."""
     t = with_fold(df, raw, "__t")
-    t = t.withColumn("__t", F.regexp_replace(F.trim(F.lower("__t")), r"\s+", " "))
-    t = t.withColumn("__t", F.regexp_replace(F.regexp_replace(F.col("__t"), LEAD, ""), TAIL, ""))
+    t = t.withColumn("__t", held(F.regexp_replace(F.trim(F.lower("__t")), r"\s+", " ")))
+    t = t.withColumn("__t", held(F.regexp_replace(F.regexp_replace(F.col("__t"), LEAD, ""), TAIL, "")))
     x = F.col("__t")
     at = lambda k: F.regexp_extract(x, _POSITION, k)
     sign = F.when(at(4) == "+", "+").otherwise("-")
     position = F.when(x.rlike(r"\d.*\d.*\d.*[+\-−–]") & x.rlike(_POSITION), F.concat(F.lit("j"), at(1), at(2), at(3), sign, at(5), at(6), at(7))).otherwise("")
-    t = t.withColumn("__p", position)
+    t = t.withColumn("__p", held(position))
     digits = F.regexp_replace(F.replace(F.regexp_extract(x, _NUMBER, 1), F.lit(","), F.lit("")), r"^0+(?=\d)", "")
-    t = t.withColumn("number", F.when(F.col("__p") != "", F.col("__p")).otherwise(digits))
+    t = t.withColumn("number", held(F.when(F.col("__p") != "", F.col("__p")).otherwise(digits)))
     head = F.regexp_replace(F.regexp_extract(x, r"^(.*?)\d", 1), _NUMBERING, "")
     head = F.when(F.col("__p") != "", F.regexp_replace(head, r"[\s\-_]*j?$", "")).otherwise(head)
     words = F.regexp_extract_all(x, F.lit(r"\p{L}+"), 0)
@@ -65,14 +65,14 @@ def parsed(df: DataFrame, raw: str) -> DataFrame:
     for k, ws in KINDS.items():
         hit = F.arrays_overlap(words, F.array(*map(F.lit, ws.split())))
         kind = F.when(hit, F.lit(k)) if kind is None else kind.when(hit, F.lit(k))
-    t = t.withColumn("label", F.when(F.col("number") != "", F.array_join(F.regexp_extract_all(head, F.lit(r"\p{L}+"), 0), " ")).otherwise(F.array_join(own, " ")))
-    return t.withColumn("kind", F.when(F.col("number") == "", kind)).drop("__t", "__p")
+    t = t.withColumn("label", held(F.when(F.col("number") != "", F.array_join(F.regexp_extract_all(head, F.lit(r"\p{L}+"), 0), " ")).otherwise(F.array_join(own, " "))))
+    return t.withColumn("kind", held(F.when(F.col("number") == "", kind))).drop("__t", "__p")
 
 
 def entries(sources: DataFrame, aliases: DataFrame) -> DataFrame:
     """(entry_id, label, number, kind): each entry under its own designation
     and, where its catalogue has other names, under each of those."""
-    s = parsed(sources.where("main_id is not null").select(F.col("id").alias("entry_id"), "main_id"), "main_id").drop("main_id")
+    s = cut(parsed(sources.where("main_id is not null").select(F.col("id").alias("entry_id"), "main_id"), "main_id").drop("main_id"))
     a = aliases.where("prefix is not null and alias is not null").select(F.lower(fold_visual(F.col("prefix"))).alias("label"), F.array_join(F.regexp_extract_all(F.lower(fold_visual(F.col("alias"))), F.lit(r"\p{L}+"), 0), " ").alias("other")).distinct()
     more = s.where("number <> ''").join(a, "label").select("entry_id", F.col("other").alias("label"), "number", "kind")
     return s.select("entry_id", "label", "number", "kind").unionByName(more)
@@ -123,11 +123,10 @@ def matches(names: DataFrame, sources: DataFrame, aliases: DataFrame, threshold:
     n = cut(parsed(n, "raw_name").drop("raw_name"))
     e = entries(sources, aliases)
     wanted = n.where("number <> ''").select("number").distinct()
-    e = e.where("number <> ''").join(wanted, "number", "left_semi").unionByName(e.where("number = ''"), allowMissingColumns=True).select("entry_id", "label", "number", "kind")
-    ids = F.xxhash64("label", "number")
+    e = e.where("number <> ''").join(wanted, "number", "left_semi").unionByName(e.where("number = ''").select("number", "entry_id", "label", "kind"))
     # each distinct label and number is one set, however many rows have it
     q = n.where("label <> ''").select("label", "number").distinct().select(F.struct("label", "number").alias("q"), tokens(F.col("label"), F.col("number")).alias("tokens"))
-    e = cut(e.where("label <> ''").withColumn("h", ids))
+    e = e.where("label <> ''")
     r = e.select("label", "number").distinct().select(F.struct("label", "number").alias("r"), tokens(F.col("label"), F.col("number")).alias("tokens"))
     c = set_join(q, r, threshold)
     # words are in alphabetical order, which a misspelt first letter can change

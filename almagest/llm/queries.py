@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almagest.llm import bpe, confusables, mixing, namematch, neardup, segment
+from almagest.llm import bpe, confusables, mixing, namematch, neardup, segment, toxicity
 from almagest.llm.sql import SQL  # noqa: F401
 from almagest.sources.tables import table
 
@@ -84,3 +84,19 @@ def p5_found(spark, d):
 @_query
 def p5_matches(spark, d):
     return namematch.matches(*[table(spark, d, n) for n in ("names", "sources", "catalog_aliases")])
+
+
+@_query
+def p9_found(spark, d):
+    return toxicity.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+@_query
+def p9_scores(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, d, "review_labels")))
+
+
+@_query
+def p9_rates(spark, d):
+    return toxicity.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
