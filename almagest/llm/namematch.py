@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.functions.textfold import fold_visual, held, with_fold
+from almagest.functions.textfold import held, with_fold
 from almagest.session import cut
 
 #: Least Jaccard similarity of the token sets, and most edits between the words of proper names.
@@ -73,7 +73,9 @@ def entries(sources: DataFrame, aliases: DataFrame) -> DataFrame:
     """(entry_id, label, number, kind): each entry under its own designation
     and, where its catalogue has other names, under each of those."""
     s = cut(parsed(sources.where("main_id is not null").select(F.col("id").alias("entry_id"), "main_id"), "main_id").drop("main_id"))
-    a = aliases.where("prefix is not null and alias is not null").select(F.lower(fold_visual(F.col("prefix"))).alias("label"), F.array_join(F.regexp_extract_all(F.lower(fold_visual(F.col("alias"))), F.lit(r"\p{L}+"), 0), " ").alias("other")).distinct()
+    a = with_fold(with_fold(aliases.where("prefix is not null and alias is not null").select("prefix", "alias"), "prefix", "p"), "alias", "a")
+    words = F.array_join(F.regexp_extract_all(F.lower("a"), F.lit(r"\p{L}+"), 0), " ")
+    a = cut(a.select(F.lower("p").alias("label"), held(words).alias("other")).distinct())
     more = s.where("number <> ''").join(a, "label").select("entry_id", F.col("other").alias("label"), "number", "kind")
     return s.select("entry_id", "label", "number", "kind").unionByName(more)
 
