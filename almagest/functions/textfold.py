@@ -74,7 +74,7 @@ def composed() -> dict[str, str]:
 
 
 #: Blocks of ordinary letters, ideographs and punctuation, which texts are full of.
-_PLAIN = [(0x00, 0x7F), (0xC0, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x2200, 0x22FF), (0x3001, 0x303F), (0x3041, 0x30FE), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1FAFF), (0x20000, 0x2F7FF)]
+_PLAIN = [(0x00, 0x7F), (0xC0, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x2200, 0x22FF), (0x3001, 0x303F), (0x3041, 0x30FE), (0x3400, 0x9FFF), (0x1F300, 0x1FAFF), (0x20000, 0x2F7FF)]
 
 
 def _class(chars, coarse: bool = False) -> str:
