@@ -215,3 +215,24 @@ def r6_rrf(spark, d):
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     b = retrieval.top_per_query(q.join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id", (-F.abs(F.col("query_id") - F.col("id"))).alias("score")), "score", 20)
     return retrieval.rrf(a, b).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("a16_acronyms")
+def a16_acronyms(spark, d):
+    from almagest.operators import acronyms
+
+    return acronyms.mine(latest_chunks(spark, d))
+
+
+@query(
+    "x8_number_support",
+    f"""with {_CHUNKS}, q as (select chunk_id as claim_id, unnest(list_distinct(regexp_extract_all(left(text, 200), '\\d+(?:\\.\\d+)?'))) as number from c where chunk_id % 50 = 0),
+    k as (select claim_id, count(*) as need from q group by 1),
+    h as (select source, chunk_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\d+(?:\\.\\d+)*\\.?\\d*'), lambda x: x), lambda x: regexp_full_match(x, '\\d+(?:\\.\\d+)?')))) as number from c)
+    select claim_id, source, count(*) as n_chunks from (select claim_id, source, chunk_id, need from q join k using (claim_id) join h using (number) group by all having count(*) = any_value(need)) group by all""",
+)
+def x8_number_support(spark, d):
+    from almagest.operators import verify
+
+    c = latest_chunks(spark, d)
+    return verify.number_claims(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), F.substring("text", 1, 200).alias("text")), c)
