@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from almagest.functions.quotes import LIGHT_M_MHZ, stated_freq_mhz, stated_hours
 from almagest.functions.textfold import with_fold
 from almagest.operators.sky import finite
+from almagest.session import cut
 
 # Unit of a state, its scale, and whether the value is a wavelength.
 FREQ_STATES = [("MHz", 1.0, False), ("GHz", 1e3, False), ("kHz", 1e-3, False), ("Hz", 1e-6, False), ("m", LIGHT_M_MHZ, True), ("cm", LIGHT_M_MHZ * 1e2, True), ("mm", LIGHT_M_MHZ * 1e3, True)]
@@ -96,7 +97,8 @@ def common_units(requests: DataFrame) -> DataFrame:
     """
     r = requests.select("id", F.concat_ws("|", F.coalesce("telescope", F.lit("")), F.coalesce("band", F.lit(""))).alias("device"), finite(F.col("freq_mhz")).alias("freq_mhz"), finite(F.col("hours")).alias("hours"), "quote")
     r = with_fold(r, "quote", "q").drop("quote")
-    r = r.withColumns({"stated_freq_mhz": stated_freq_mhz(F.col("q")), "stated_hours": stated_hours(F.col("q"))}).drop("q")
+    # read from the shared folder by the levels and by the decoding: quotes are searched once
+    r = cut(r.withColumns({"stated_freq_mhz": stated_freq_mhz(F.col("q")), "stated_hours": stated_hours(F.col("q"))}).drop("q"))
     logs = {n: F.when(F.col(f"stated_{n}") > 0, F.log10(F.col(f"stated_{n}"))) for n in ("freq_mhz", "hours")}
     levels = r.groupBy("device").agg(*[x for n, c in logs.items() for x in (F.percentile_approx(c, 0.5, 1000).alias(f"dev_level_{n}"), F.stddev(c).alias(f"dev_spread_{n}"))])
     whole = r.agg(*[x for n, c in logs.items() for x in (F.percentile_approx(c, 0.5, 1000).alias(f"all_level_{n}"), F.stddev(c).alias(f"all_spread_{n}"))])
