@@ -119,3 +119,21 @@ def overlap_scorer(query: pd.Series, text: pd.Series) -> pd.Series:
         a, b = set(q.lower().split()), set(t.lower().split())
         out.append(8 * len(a & b) / max(1, len(a)) - 4)
     return pd.Series(out, dtype=float)
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, scorer: Callable = overlap_scorer, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, n: int = 5, pool: int = 20, window: int = 0, priority: Column | None = None) -> DataFrame:
+    """(query_id, rank, id, source, chunk_index, confidence, passage) of queries
+    (query_id, text) over chunks (chunk_id, source, chunk_index, text): the best
+    `pool` by BM25 and, where vectors are given, by cosine, fused by rank, cut to
+    `pool`, reranked by the scorer, the best n widened by `window` neighbours.
+    Frequencies are of all chunks, whatever is filtered later."""
+    from almagest.operators.documents import with_neighbours
+
+    docs = chunks.select(F.col("chunk_id").alias("id"), "text")
+    words = bm25_top(docs, queries, pool).select("query_id", "id", "rank")
+    sense = knn(vectors, query_vectors, pool).select("query_id", "id", "rank") if vectors is not None else words.limit(0)
+    fused = rrf(sense, words).withColumn("s", F.round("score", 6) + F.col("in_first").cast("int") * 1e-9)
+    few = top_per_query(fused, "s", pool).select("query_id", "id")
+    c = few.join(chunks.select(F.col("chunk_id").alias("id"), "source", "chunk_index", "text", "doc_source"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    best = rerank(c, scorer, n, priority).select("query_id", "rank", "id", "source", "chunk_index", "confidence")
+    return best.join(with_neighbours(best, chunks, window), ["source", "chunk_index"]).select("query_id", "rank", "id", "source", "chunk_index", "confidence", "passage")

@@ -236,3 +236,46 @@ def x8_number_support(spark, d):
 
     c = latest_chunks(spark, d)
     return verify.number_claims(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), F.substring("text", 1, 200).alias("text")), c)
+
+
+@query("r1_retrieve")
+def r1_retrieve(spark, d):
+    c = latest_chunks(spark, d)
+    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.concat_ws(" ", "heading", F.substring("text", 1, 80)).alias("text"))
+    return retrieval.retrieve(c, q, window=1)
+
+
+@query("x25_text_hash", f"with {_CHUNKS} select chunk_id, sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as hash from c")
+def x25_text_hash(spark, d):
+    return latest_chunks(spark, d).select("chunk_id", documents.text_hash(F.col("text")).alias("hash"))
+
+
+@query("a15_chunk_counts", f"with {_CHUNKS} select doc_source, zone, doc_status, count(*) as n, count(distinct source) as n_docs from c group by all")
+def a15_chunk_counts(spark, d):
+    return latest_chunks(spark, d).groupBy("doc_source", "zone", "doc_status").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_docs"))
+
+
+@query("e4_not_named", f"with {_CHUNKS}, {_MENTIONS} select distinct source from c where source not in (select source from m)")
+def e4_not_named(spark, d):
+    c = latest_chunks(spark, d)
+    m = coverage.mentions(coverage.select_chunks(c), TERMS)
+    return c.select("source").distinct().join(m.select("source"), "source", "left_anti")
+
+
+@query("x9_numbers", f"with {_CHUNKS} select chunk_id, len(list_distinct(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')))::bigint as n from c")
+def x9_numbers(spark, d):
+    from almagest.operators import verify
+
+    return latest_chunks(spark, d).select("chunk_id", F.size(verify.numbers(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query(
+    "t10_cone_search",
+    """select id, round(degrees(2 * asin(sqrt(least(1.0, power(sin(radians(d + 30) / 2), 2) + cos(radians(-30)) * cos(radians(d)) * power(sin(radians(ra - 60) / 2), 2))))) * 3600.0, 3) as sep
+    from (select id, ((ra_deg % 360) + 360) % 360 as ra, dec_deg as d from sources where isfinite(ra_deg) and dec_deg between -90 and 90)
+    where degrees(2 * asin(sqrt(least(1.0, power(sin(radians(d + 30) / 2), 2) + cos(radians(-30)) * cos(radians(d)) * power(sin(radians(ra - 60) / 2), 2))))) * 3600.0 <= 72000""",
+)
+def t10_cone_search(spark, d):
+    from almagest.operators import sky
+
+    return sky.cone(sky.positions(table(spark, d, "sources"), "id"), 60.0, -30.0, 72000.0).select("id", F.round("sep_arcsec", 3).alias("sep"))
