@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from almagest.functions.textfold import with_fold
 from almagest.llm.bpe import over_all_cores
+from almagest.operators.graph import components
 from almagest.session import cut
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -91,9 +92,9 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int, coordinates: in
     return cols.mapInArrow(run, f"key {kind}, hashes array<bigint>, sig array<bigint>")
 
 
-def candidate_pairs(reps: DataFrame, min_match: int) -> DataFrame:
-    """(a, b), a < b: the pairs of reps (rep, sig) whose signatures agree in at
-    least `min_match` coordinates, each once."""
+def prefix_hits(reps: DataFrame, min_match: int) -> DataFrame:
+    """(a, b), a < b: the pairs of reps (rep, sig) that meet in their prefixes,
+    each once: among them every pair that agrees in `min_match` coordinates."""
     posts = reps.select("rep", F.posexplode("sig").alias("coord", "value"))
     # counted where they are before the shuffle; values of one text drop out
     often = posts.groupBy("coord", "value").agg(F.count("*").alias("df")).where("df > 1")
@@ -102,13 +103,31 @@ def candidate_pairs(reps: DataFrame, min_match: int) -> DataFrame:
     posts = posts.withColumn("n", F.count("*").over(by_text)).withColumn("r", F.row_number().over(by_text.orderBy("df", "coord")))
     prefix = posts.where((F.col("n") >= min_match) & (F.col("r") <= F.col("n") - min_match + 1)).select("rep", "coord", "value")
     a, b = prefix.withColumnRenamed("rep", "a"), prefix.withColumnRenamed("rep", "b")
-    hits = a.join(b, ["coord", "value"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("prefix_hits"))
-    sig = reps.select("rep", "sig")
-    both = hits.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    return a.join(b, ["coord", "value"]).where("a < b").select("a", "b").distinct()
+
+
+def agreeing(hits: DataFrame, reps: DataFrame, min_match: int) -> DataFrame:
+    """The hits whose signatures can agree in `min_match` coordinates, the
+    skipped ones merged in: a byte of each coordinate tells, and never too few."""
+    byte = reps.select("rep", F.transform("sig", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint")).alias("s"))
+    both = hits.join(byte.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(byte.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     match = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     return both.where(match >= min_match).select("a", "b")
 
 
+def verified(hits: DataFrame, reps: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the hits that agree in `min_match` coordinates and
+    have the exact similarity. Only texts that some hit names are shuffled."""
+    named = hits.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    r = cut(reps.join(named, "rep", "left_semi").select("rep", "sig", "hashes"))
+    side = lambda x: r.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}"), F.col("hashes").alias(f"h{x}"))
+    both = hits.join(side("a"), "a").join(side("b"), "b")
+    match = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
+    both = both.where(match >= min_match).withColumn("shared", F.size(F.array_intersect("ha", "hb")))
+    jaccard = F.col("shared") / (F.size("ha") + F.size("hb") - F.col("shared"))
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
 def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int = 5, min_words: int = 0, coordinates: int = 48, min_match: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, jaccard) of representatives with a
     Jaccard similarity of at least `threshold` between their sets of runs of
@@ -124,40 +143,16 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int =
     if min_match is None:
         min_match = max(1, int(coordinates * threshold - 4.2 * (coordinates * threshold * (1 - threshold)) ** 0.5))
     s = signatures(over_all_cores(df), key, text, shingle, coordinates, min_words)
-    h = F.concat_ws("", F.transform("hashes", lambda x: F.hex(x)))
-    s = cut(s.withColumn("same", F.sha2(h, 256)))
+    s = cut(s.withColumn("same", F.struct(F.xxhash64("hashes"), F.xxhash64(F.lit("again"), "hashes"), F.size("hashes"))))
     first = s.groupBy("same").agg(F.min("key").alias("rep"))
     members = s.select("key", "same").join(first, "same").select("rep", "key")
-    reps = s.join(first.select(F.col("rep").alias("key")), "key", "left_semi").select(F.col("key").alias("rep"), "hashes", "sig")
-    c = candidate_pairs(reps, min_match)
-    sets = reps.select("rep", "hashes")
-    c = c.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    pairs = c.withColumn("shared", shared).select("a", "b", (F.col("shared") / (F.size("ha") + F.size("hb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    # the long columns move once, and then only those of texts that have a hit
+    reps = s.select("key", "sig").join(first.select(F.col("rep").alias("key")), "key", "left_semi").select(F.col("key").alias("rep"), "sig")
+    hits = cut(agreeing(prefix_hits(reps, min_match), reps, min_match))
+    pairs = verified(hits, s.select(F.col("key").alias("rep"), "sig", "hashes"), min_match, threshold)
     return pairs, members
 
 
-def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the connected components of pairs (a, b) by
-    alternating min-label steps (large-star, small-star), each step cut in the
-    shared checkpoint folder. The component is its smallest node; a node
-    without a pair is its own. Pairs stay distributed throughout."""
-    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    return nodes.select("node").join(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def found(terms: DataFrame, threshold: float = 0.6, shingle: int = 3, min_words: int = 20) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: each pair of rows of terms of different
     meta.source whose texts, folded, overlap by `threshold` or more. Rows of a
