@@ -70,4 +70,4 @@ def test_empty(spark):
 def test_shingles_of_any_length(text):
     s = neardup.Shingler(3, 16)
     h, n = s.hashes(text)
-    assert len(h) == len(shingles(text, 3)[0]) and n == len(text.split()) and len(s.signature(h)) == 16
+    assert len(h) == len(shingles(text, 3)[0]) and n == len(text.split()) and len(s.minima(h)) == 16
