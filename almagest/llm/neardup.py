@@ -181,13 +181,14 @@ def found(terms: DataFrame, threshold: float = 0.6, shingle: int = 3, min_words:
     return across.unionByName(within).select(F.least("ka", "kb").alias("chunk_id_a"), F.greatest("ka", "kb").alias("chunk_id_b"))
 
 
-def groups(terms: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+def groups(terms: DataFrame, threshold: float = 0.6, shingle: int = 3, min_words: int = 20) -> DataFrame:
     """A row per chunk with the class of near-copies it belongs to: chunk_id,
     class_id (the smallest chunk_id of the class), class_size, and n_links, the
-    number of different texts it is linked with. Chunks that take no part are
-    classes of their own."""
+    number of different texts it is linked with. Texts are as similar as
+    found() says, of whatever source. Chunks that take no part are classes of
+    their own."""
     t = with_fold(terms.select("chunk_id", "text"), "text", "folded")
-    pairs, members = similar(t, "chunk_id", "folded", threshold, shingle)
+    pairs, members = similar(t, "chunk_id", "folded", threshold, shingle, min_words)
     pairs, members = cut(pairs), cut(members)
     comp = components(pairs, members.select(F.col("rep").alias("node")).distinct())
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

@@ -51,6 +51,24 @@ def test_found_on_the_test_table(spark, data):
     assert sorted(map(tuple, neardup.found(t).collect())) == brute(rows, 3, 0.6, 20)
 
 
+def test_groups_are_the_components_of_all_pairs(spark):
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(12):
+        base = rnd.choices(vocab, k=rnd.randrange(40, 90))
+        rows += [(len(rows) + i, edited(rnd, base, n), f"s{i}") for i, n in enumerate((0, 0, 3, 5))]
+    rows += [(900, "too short", "s1"), (901, "too short", "s2"), (902, None, "s3")]
+    pairs, root = brute(rows, 3, 0.6, 20), {i: i for i, _, _ in rows}
+    s = {i: shingles(t, 5)[0] for i, t, _ in rows}
+    assert any(len(s[a] & s[b]) / len(s[a] | s[b]) < 0.8 for a, b in pairs)
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame([(i, t, (m,), "x") for i, t, m in rows], TERMS)
+    assert {r.chunk_id: r.class_id for r in neardup.groups(df).collect()} == root
+
+
 def test_hot_group_of_copies_makes_few_pairs(spark):
     text = " ".join(f"a{i}" for i in range(40))
     rows = [(i, text, (f"s{i}",), "x") for i in range(300)] + [(300 + i, " ".join(f"b{i}x{j}" for j in range(40)), ("s",), "x") for i in range(20)] + [(999, text + " end", ("t",), "x")]
