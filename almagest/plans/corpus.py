@@ -238,6 +238,15 @@ def x8_number_support(spark, d):
     return verify.number_claims(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), F.substring("text", 1, 200).alias("text")), c)
 
 
+@query("x8_whole_claims")
+def x8_whole_claims(spark, d):
+    """x8_number_support with every number of the claims' texts required."""
+    from almagest.operators import verify
+
+    c = latest_chunks(spark, d)
+    return verify.number_claims(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), "text"), c)
+
+
 @query("r1_retrieve")
 def r1_retrieve(spark, d):
     c = latest_chunks(spark, d)
