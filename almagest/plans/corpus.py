@@ -136,7 +136,7 @@ def e5_similar_documents(spark, d):
 
 @query("e6_duplicates")
 def e6_duplicates(spark, d):
-    return documents.duplicates(latest_chunks(spark, d), F.length("source"), 0.02)
+    return documents.duplicates(latest_chunks(spark, d), F.length(coverage.stem_of(F.col("source"))))
 
 
 @query("x28_zones")

@@ -25,3 +25,16 @@ def test_claims_need_the_numbers_behind_any_prefix(spark, tmp_path):
                 want[i, source] = want.get((i, source), 0) + 1
     got = {(r.claim_id, r.source): r.n_chunks for r in corpus.x8_whole_claims(spark, folder(spark, tmp_path, rows)).collect()}
     assert got == want == {(50, "a"): 1, (50, "c"): 2, (100, "b"): 1, (100, "e"): 1}
+
+
+def test_duplicates_by_half_their_texts_then_by_stem(spark, tmp_path):
+    def paper(i, source, texts):
+        return [(i + k, source, t) for k, t in enumerate(texts)]
+
+    rows = paper(0, "x/b/A/Curiel01.pdf", ["p", "q", "r"]) + paper(10, "x/b/A/Curiel01c.pdf", ["p", "q", "s"])  # 2 of 4
+    rows += paper(20, "x/b/A/Bianchi01.pdf", ["t1", "t2"]) + paper(30, "x/b/B/Bianchi01.pdf", ["u1", "u2"])  # one stem, other texts
+    rows += paper(40, "x/b/A/Hota.pdf", ["v1", "v2", "v3", "v4", "v5"]) + paper(50, "x/b/A/Other.pdf", ["v1", "w2", "w3", "w4", "w5"])  # 1 of 9
+    rows += paper(60, "x/b/B/Curiel01c.pdf", ["z"])  # the other Curiel01c is no survivor
+    got = {r.source: (r.status, r.duplicate_of) for r in corpus.e6_duplicates(spark, folder(spark, tmp_path, rows)).collect()}
+    assert {s: of for s, (status, of) in got.items() if status == "duplicate"} == {"x/b/A/Curiel01c.pdf": "x/b/A/Curiel01.pdf", "x/b/B/Bianchi01.pdf": "x/b/A/Bianchi01.pdf"}
+    assert len(got) == 7 and all(of == "" for status, of in got.values() if status == "canonical")
