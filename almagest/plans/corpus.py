@@ -221,7 +221,7 @@ def r6_rrf(spark, d):
 def a16_acronyms(spark, d):
     from almagest.operators import acronyms
 
-    return acronyms.mine(latest_chunks(spark, d))
+    return acronyms.mine_all(latest_chunks(spark, d))
 
 
 @query(
