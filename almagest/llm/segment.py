@@ -3,8 +3,9 @@
 Lexical cohesion decides where to cut: the words before and after each possible
 gap are compared as sliding blocks, and gaps where the similarity is lowest
 (valleys) mark a change of topic. Within the window in which the next cut must
-fall, the best kind of boundary is taken first (paragraph, line, sentence, word,
-any character), and among the gaps of that kind the deepest valley.
+fall, the best kind of boundary is taken first (paragraph, line, sentence, word),
+and among the gaps of that kind the deepest valley. Where the window has none, the
+last gap of the best kind before it is taken, and any character if there is none.
 """
 
 from __future__ import annotations
@@ -102,6 +103,13 @@ def pieces(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int
                 # of equal valleys the last, which leaves fewer pieces
                 cut = max(zip(depth, window))[1]
                 break
+        if not cut:
+            # a run without a boundary fills the window: end before it, at the last of the best kind
+            for ends in kinds:
+                k = bisect_left(ends, lo)
+                if k and ends[k - 1] > start + overlap:
+                    cut = ends[k - 1]
+                    break
         if not cut:
             cut = _safe(text, hi)
             if cut <= start + overlap:

@@ -29,6 +29,13 @@ def test_best_kind_of_boundary_first():
     assert "\r\n" not in {("a\r\n" * 40)[a - 1 : a + 1] for a, _ in check("a\r\n" * 40, 10, 0)}
 
 
+def test_long_runs_begin_a_piece_where_words_end_before_them():
+    text = "see the table " + "x" * 25 + " end"
+    assert check(text, 30, 0) == [(0, 14), (14, 43)]
+    assert check("one. two " + "y" * 60, 30, 2)[0] == (0, 5)  # the sentence, not the word
+    assert check("a b " + "z" * 40, 30, 4)[0] == (0, 30)  # no gap behind the overlap
+
+
 def test_cut_falls_where_the_topic_changes():
     a, b = "pulsar timing glitch spin noise. ", "galaxy cluster halo redshift mass. "
     text = a * 18 + b * 18
