@@ -7,7 +7,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Number of partitions that operators with costly work per row deal their input out over before it; unset: as read.
+SPREAD = "spark.almagest.spread"
+
 DEFAULTS = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,6 +27,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         b = b.config(k, v)
     s = (
         b.config("spark.sql.shuffle.partitions", str(partitions))
+        .config(SPREAD, str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -34,13 +39,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoint(): the one that the cluster names in
-    spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    spark.checkpoint.dir. Where that is unset, a temporary one on a local master
+    (tests); on any other an error, since executors would not share it."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "almagest-checkpoints")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -55,3 +63,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread_of(spark: SparkSession) -> int:
+    """The session's SPREAD, 0 where unset."""
+    return int(spark.conf.get(SPREAD, "0") or 0)

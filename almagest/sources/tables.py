@@ -12,14 +12,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, share: float = 1.0) -> DataFrame:
-    """Spread a scan of few files over all cores, for steps that cost much more
-    per row than moving the row does."""
-    from almagest.session import parallelism
-
-    return df.repartition(max(1, int(parallelism(df.sparkSession) * share)))
-
-
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of papers with the fields of `meta` as flat columns. Nulls get
     the defaults of the data model: zone body, doc_status canonical, "" for
