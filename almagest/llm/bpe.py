@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almagest.session import spread_of
+
 #: Pieces and characters of them in a worker's memo, after which it starts anew.
 MEMO, MEMO_CHARS = 400_000, 8_000_000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
@@ -236,9 +238,11 @@ def share_vocabulary(spark, path: str | None = None, pattern: str | None = None)
 
 
 def over_all_cores(df: DataFrame) -> DataFrame:
-    """A scan with fewer parts than cores is dealt out anew; others stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """`df` as it was read, or dealt out over as many partitions as the session
+    asks for: a parameter for inputs of few files (session.SPREAD), which moves
+    every text once, so it is unset on a cluster."""
+    n = spread_of(df.sparkSession)
+    return df.repartition(n) if n else df
 
 
 def _rows(batch: pa.RecordBatch, size: int = 512) -> Iterator[pa.RecordBatch]:

@@ -41,18 +41,44 @@ def test_words_in_disguise():
 
 
 def test_held_out_documents(spark):
-    """Trained on the larger table's reviews, tested on the other's; some
-    reviews are wrong, so neither figure can reach 1."""
+    """Trained on one table's reviews, tested on another's. Some reviews are
+    wrong and a few hundred show only part of the kinds of abuse, so recall is
+    not asked for beyond a half."""
 
     def labelled(d):
-        docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/review_labels.parquet")
+        docs, labels = (spark.read.parquet(f"/root/testdata/{d}/{t}.parquet") for t in ("documents", "review_labels"))
         return toxicity.sample(docs, labels, 4000)
 
-    texts, bad = labelled("/root/testdata/check_l")
-    m = toxicity.train(toxicity.Bags(texts), bad, np.ones(len(texts), bool))
-    texts, bad = labelled("/root/testdata/sf0.1")
-    got = toxicity.document_scores(toxicity.Bags(texts), m, len(texts)) > 0
-    assert (got & bad).sum() / got.sum() >= 0.85 and (got & bad).sum() / bad.sum() >= 0.65
+    texts, bad, sure, weight = labelled("sf0.1")
+    m, cut_off = toxicity.learn(texts, bad, sure, weight)
+    texts, bad, sure, _ = labelled("sf0.01")
+    got = toxicity.document_scores(toxicity.Bags(texts), m, len(texts)) > cut_off
+    assert got[~bad].mean() <= 0.02 and not got[~bad & sure].any() and (got & bad).sum() >= 0.5 * bad.sum()
+
+
+def test_wrong_labels_are_left_out():
+    """Clean texts that are called bad have no backing; planted abuse has."""
+    rnd = random.Random(8)
+    words = [f"{a}{b}on" for a in "bdfglmnprst" for b in ("ra", "le", "mi", "so", "tu", "ke")]
+    clean = lambda: " ".join(rnd.choices(words, k=14)).capitalize() + "."
+    abuse = ["You are a rotten idiot and nobody wants you here.", "Crawl back into your hole, you filthy worm of a man."]
+    texts = [clean() + " " + clean() for _ in range(500)] + [clean() + " " + rnd.choice(abuse) + " " + clean() for _ in range(40)]
+    truth = np.arange(len(texts)) >= 500
+    bad = truth | (np.arange(len(texts)) < 20)
+    bags = toxicity.Bags(texts)
+    backed = toxicity.backing(bags, bad, np.arange(len(texts))) >= toxicity.BACKED
+    assert backed[truth].all() and not backed[:20].any()
+    m, cut_off = toxicity.learn(texts, bad, np.zeros(len(texts), bool), np.ones(len(texts)))
+    assert ((toxicity.document_scores(bags, m, len(texts)) > cut_off) == truth).mean() > 0.995
+    assert toxicity.best_cut(np.zeros(0), np.zeros(0, bool), np.zeros(0)) == 0.0
+
+
+def test_bounds_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "abusive" if i < 30 else "clean") for i in range(40)] + [(0, "clean"), (1, "abusive")], "doc_id bigint, label string")
+    texts, bad, sure, weight = toxicity.sample(docs, labels, most=20)
+    assert len(texts) == 20 and bad.sum() == 10 and weight[bad][0] == 2.9 and sure.sum() <= 1
+    assert len(toxicity.sample(docs, labels, most=20, most_bytes=550)[0]) == 5
 
 
 def test_scores_of_odd_rows(spark):
