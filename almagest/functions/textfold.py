@@ -111,6 +111,13 @@ def beyond_plain() -> str:
     return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in _PLAIN) + "]"
 
 
+def may_differ(c: Column) -> Column:
+    """Whether a text holds any character that some step of the fold looks at:
+    one scan of the text. Texts without one are their own consistent form."""
+    p = _patterns()
+    return c.rlike("[" + p["suspect"] + p["like"] + beyond_plain() + "]")
+
+
 def _map_literal(d: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
 
@@ -163,6 +170,37 @@ def _steps(c: Column) -> list:
     return [single, words, accents]
 
 
+@functools.cache
+def mark_classes() -> dict[str, str]:
+    """The combining class of each accent that has one."""
+    return {chr(c): f"{ud.combining(chr(c)):03d}" for c in range(0x300, 0x2100) if ud.combining(chr(c))}
+
+
+def _in_order(c: Column) -> Column:
+    """Runs of accents in the order of their classes, as Unicode has it; a run
+    with a mark of no class stays."""
+    parts, classes = F.regexp_extract_all(c, F.lit(r"(?s)\p{M}{2,}|\P{M}+|\p{M}"), 0), _map_literal(mark_classes())
+    marks = lambda p: F.transform(F.filter(F.split(p, ""), lambda m: m != ""), lambda m, i: F.struct(F.try_element_at(classes, m).alias("k"), i.alias("i"), m.alias("m")))
+    order = lambda p: F.array_join(F.transform(F.array_sort(marks(p)), lambda x: x["m"]), "")
+    run = lambda p: p.rlike(r"^\p{M}{2}") & ~F.exists(marks(p), lambda x: x["k"].isNull())
+    return F.array_join(F.transform(parts, lambda p: F.when(run(p), order(p)).otherwise(p)), "")
+
+
+def compose(c: Column) -> Column:
+    """Accents in order, and letters with separate accents as one character
+    where Unicode has one."""
+    ordered = F.when(c.rlike(r"\p{M}{2}"), _in_order(c)).otherwise(c)
+    return F.when(is_ascii(c), c).otherwise(_compose(_compose(ordered)))
+
+
+def map_lookalikes(df: DataFrame, text: str, out: str) -> DataFrame:
+    """`df` with the fold of `text` before accents are joined, as column `out`."""
+    df = df.withColumn(out, F.col(text))
+    for step in _steps(F.col(out))[:-1]:
+        df = df.withColumn(out, held(step(F.col(out))))
+    return df
+
+
 def fold_visual(c: Column) -> Column:
     """The consistent form of a text: variant letters and digits as the usual
     ones, invisible characters gone, every space U+0020, accents joined to
