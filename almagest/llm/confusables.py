@@ -1,10 +1,12 @@
 """Text of one consistent form: visually equal texts become equal.
 
-Each value is first mapped (functions.textfold): variant letters, invisible
-characters, spaces, separate accents, look-alike letters. Mapped values that are
-still not equal but are equal under accent-sensitive Unicode collation are
-grouped in SQL; each class has a deterministic canonical member, which is joined
-back to the rows.
+Values that hold a character which might only look like another are mapped
+(functions.textfold): variant letters, invisible characters, spaces, look-alike
+letters. What is left to differ are accents: mapped values beyond the plain
+blocks are grouped in SQL by an accent-sensitive Unicode collation, to which an
+accent counts the same whether it is written apart or in one character with its
+letter, and in whichever order the accents of a letter are written. Each class
+has a deterministic canonical member, which is joined back to the rows.
 """
 
 from __future__ import annotations
@@ -12,11 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almagest.functions.textfold import beyond_plain, with_fold
+from almagest.functions.textfold import beyond_plain, compose, map_lookalikes, may_differ
 from almagest.session import cut
 
-#: Collation of the classes: accents and case count, canonically equal texts are equal.
-COLLATION = "UNICODE"
+#: Classes of mapped values. Each value brings its composed spelling as a member of its class,
+#: so a class has a composed member even where no row is written so. The canonical member is the
+#: one of the fewest code points, among those the first in code-point order.
+CLASSES = """
+    with member as (select composed, mapped as form from {odd} union select composed, composed from {odd}),
+    class as (select collate(composed, 'UNICODE') as same, min(struct(length(form) as n, form)) as best from member group by collate(composed, 'UNICODE'))
+    select o.mapped, c.best.form as member from {odd} o join class c on collate(o.composed, 'UNICODE') = c.same where o.mapped <> c.best.form
+"""
 
 
 def values(terms: DataFrame, names: DataFrame, requests: DataFrame) -> DataFrame:
@@ -28,29 +36,27 @@ def values(terms: DataFrame, names: DataFrame, requests: DataFrame) -> DataFrame
     return t.unionByName(n).unionByName(r).where("text is not null")
 
 
+def _resolved(df: DataFrame, text: str, out: str) -> DataFrame:
+    """The rows of `df` whose text may differ from its canonical form, with
+    that form. The mapped rows are written once to the shared checkpoint folder
+    and read for the classes and for the join."""
+    m = cut(map_lookalikes(df.where(may_differ(F.col(text))), text, "__mapped"))
+    odd = m.where(F.col("__mapped").rlike(beyond_plain())).select(F.col("__mapped").alias("mapped")).distinct()
+    odd = cut(odd.withColumn("composed", compose(F.col("mapped"))))
+    moved = df.sparkSession.sql(CLASSES, odd=odd).select(F.col("mapped").alias("__mapped"), "member")
+    return m.join(moved, "__mapped", "left").withColumn(out, F.coalesce("member", "__mapped")).drop("__mapped", "member")
+
+
 def canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
     """`df` with the canonical form of `text` as column `out`; null stays null.
-
-    The canonical member of a class is the one with the fewest code points,
-    among those the first in code-point order. A mapped value made of plain
-    characters only is alone in its class, so only other values are grouped,
-    by their collation; classes of one member need no join. The classes that
-    are left (none, unless marks or rare scripts occur in several spellings)
-    are written to the shared checkpoint folder and joined back. Accents of one
-    letter in another order than the canonical one are not brought into order.
-    """
-    m = with_fold(df, text, "__mapped")
-    odd = m.where(F.col("__mapped").rlike(beyond_plain())).select("__mapped", F.expr(f"collate(__mapped, '{COLLATION}')").alias("__class"))
-    members = F.struct(F.length("__mapped").alias("n"), F.col("__mapped").alias("m"))
-    classes = odd.groupBy("__class").agg(F.min(members).alias("lo"), F.max(members).alias("hi")).where("lo.m <> hi.m").select("__class", F.col("lo.m").alias("__best"))
-    moved = cut(odd.distinct().join(classes, "__class").where(F.col("__mapped") != F.col("__best")).select("__mapped", "__best"))
-    if moved.isEmpty():
-        return m.withColumnRenamed("__mapped", out)
-    return m.join(moved, "__mapped", "left").withColumn(out, F.coalesce("__best", "__mapped")).drop("__mapped", "__best")
+    Texts without a character that might differ are their own form. An accent
+    after a letter that has another one within it already stays where it is."""
+    rest = df.where(~F.coalesce(may_differ(F.col(text)), F.lit(False))).withColumn(out, F.col(text))
+    return rest.unionByName(_resolved(df, text, out))
 
 
 def found(terms: DataFrame, names: DataFrame, requests: DataFrame) -> DataFrame:
     """(table_name, row_key) of the rows whose text is not in canonical form,
     once per key."""
-    c = canonical(values(terms, names, requests))
+    c = _resolved(values(terms, names, requests), "text", "canonical")
     return c.where(F.col("canonical") != F.col("text")).select("table_name", "row_key").distinct()

@@ -84,3 +84,15 @@ def test_visual_forms(spark):
     assert got == want
     c = {x.row_key: x.canonical for x in confusables.canonical(n.selectExpr("name_key as row_key", "raw_name as text")).collect()}
     assert c["a"] == c["b"] and c["f"] == c["g"] == "가 x" and c["i"] is None and c["d"] == "Крв" and c["k"] == "fine\n\tx"
+
+
+def test_accents_are_joined_and_ordered_by_their_class(spark):
+    """q with dot below and dot above has no single character, so only the
+    collation tells that both orders are the same; case and accents count."""
+    below, above, acute = chr(0x323), chr(0x307), chr(0x301)
+    forms = [f"q{below}{above} x", f"q{above}{below} x", f"q{above} x", f"Q{below}{above} x", f"e{acute}{below}", f"e{below}{acute}", "e", "E"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(forms)] + [(8, None, 1), (9, "", 1)], "i int, text string, canonical_of int")
+    c = {r.i: r.canonical for r in confusables.canonical(df).collect()}
+    assert c[0] == c[1] and len({c[0], c[2], c[3], c[7]}) == 4 and c[4] == c[5] and c[6] != c[7] and c[8] is None and c[9] == ""
+    assert all(unicodedata.normalize("NFC", c[i]) == unicodedata.normalize("NFC", t) for i, t in enumerate(forms))
+    assert confusables.canonical(df.limit(0)).count() == 0
