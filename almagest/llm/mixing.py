@@ -2,16 +2,18 @@
 
 Sizes are tokens. The shares of the sources are known after one aggregation to
 a row per source; everything about weights is worked out on those few rows.
-Temperature mixing raises the natural shares to an exponent, found by bisection
-so that the shares reach the entropy of the target weights, and where a source
-cannot fill its share within its repetition limit, what is missing goes to the
-others in the proportion of their tempered weights.
+Temperature mixing bends the natural shares towards the target weights: at
+exponent a a source has natural ** (1 - a) * target ** a, so 0 keeps its natural
+share and 1 gives it the target. The exponent is bisected for the largest that
+the source's repetition limit allows; below 1 the source cannot reach its
+target. The tempered weights are normalised to the size of the whole by a common
+factor, found by bisection too, that sources at their limit do not follow: the
+others keep the proportion of their targets.
 
 The mixture is realised by block permutations: each pass over a source goes
-through its documents in the order of a hash of id and pass. Whole passes are
-taken as a count; the last, partial pass takes whole blocks of the hash order
-up to the budget, and within the block in which the budget ends the documents
-in order. No source is ever sorted as a whole.
+through its blocks in an order of its own, and through the documents of a block
+in an order of its own, both by a hash. The last pass ends where the budget
+does. No source is ever sorted as a whole.
 """
 
 from __future__ import annotations
@@ -28,47 +30,44 @@ from almagest.session import cut
 BLOCKS = 4096
 
 
-def entropy(p: np.ndarray) -> float:
-    p = p[p > 0]
-    return float(-(p * np.log(p)).sum())
+def tempered(natural: float, target: float, exponent: float) -> float:
+    """The share on the way from the natural one (exponent 0) to the target (1)."""
+    if exponent >= 1 or target <= 0 or natural <= 0:
+        return target if exponent >= 1 or target <= 0 else 0.0
+    return natural ** (1 - exponent) * target**exponent
 
 
-def tempered(share: np.ndarray, exponent: float) -> np.ndarray:
-    """Shares raised to the exponent, normalised; an empty source stays empty."""
-    with np.errstate(divide="ignore"):
-        w = np.where(share > 0, np.exp(exponent * np.log(np.where(share > 0, share, 1.0))), 0.0)
-    return w / w.sum() if w.sum() > 0 else w
-
-
-def temperature_exponent(share: np.ndarray, target_entropy: float, limit: np.ndarray | None = None, budget: float = 1.0) -> float:
-    """The exponent in [0, 1] at which the tempered shares have the target
-    entropy, as near as repetition limits (`limit`: the most that a source can
-    give, in units of the budget's whole) allow. Entropy falls as the exponent
-    rises, so bisection finds it; 1 keeps the natural shares, 0 makes all equal."""
-
-    def too_flat(a: float) -> bool:
-        w = tempered(share, a)
-        return entropy(w) > target_entropy or (limit is not None and bool((w * budget > limit * (1 + 1e-12)).any()))
-
+def temperature_exponent(natural: float, target: float, budget: float, most: float) -> float:
+    """The largest exponent in [0, 1] at which the source, with its tempered
+    share of the budget, stays within `most`, its size times its repetitions.
+    1: the target is reached. A source without tokens keeps 0, if it has a
+    target."""
+    if tempered(natural, target, 1.0) * budget <= most:
+        return 1.0
+    if natural <= 0:
+        return 0.0
     lo, hi = 0.0, 1.0
-    if not too_flat(lo):
-        return lo
-    for _ in range(60):
+    for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if too_flat(mid) else (lo, mid)
-    return hi
-
-
-def fill(weight: np.ndarray, most: np.ndarray, budget: float, spare: np.ndarray) -> np.ndarray:
-    """Tokens per source: weight times budget, no source above `most`; what
-    that leaves goes to sources with room, in the proportion of `spare`."""
-    give = np.minimum(weight * budget, most)
-    for _ in range(len(weight) + 1):
-        left, room = budget - give.sum(), (most - give > 1e-9) & (spare > 0)
-        if left <= 1e-6 * max(budget, 1.0) or not room.any():
-            break
-        give = np.where(room, np.minimum(most, give + left * spare / spare[room].sum()), give)
-    return give
+        lo, hi = (mid, hi) if tempered(natural, target, mid) * budget <= most else (lo, mid)
+    return lo
+
+
+def normalised(weight: np.ndarray, most: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens per source that add up to the budget, as far as the limits allow:
+    the weights times a common factor of at least 1, bisected, none above its
+    limit `most`."""
+    full = float(np.minimum(most, np.where(weight > 0, np.inf, 0.0)).sum())
+    if full <= budget or not (weight > 0).any():
+        return np.where(weight > 0, most, 0.0)
+    give = lambda f: np.minimum(f * weight * budget, most)
+    lo, hi = 0.0, 1.0
+    while give(hi).sum() < budget:
+        hi *= 2
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if give(mid).sum() < budget else (lo, mid)
+    return give(hi)
 
 
 def source_sizes(sizes: DataFrame) -> DataFrame:
@@ -77,7 +76,7 @@ def source_sizes(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-PLAN_SCHEMA = "source string, weight double, max_repeats int, n_docs bigint, n_tokens bigint, natural_share double, tempered_share double, exponent double, target_tokens double, most_tokens bigint, reachable boolean, budget_tokens double, total_tokens bigint"
+PLAN_SCHEMA = "source string, weight double, max_repeats int, n_docs bigint, n_tokens bigint, natural_share double, exponent double, tempered_share double, target_tokens double, most_tokens bigint, reachable boolean, budget_tokens double, total_tokens bigint"
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,15 +84,15 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     total = int(pdf["n_tokens"].sum())
     t = pdf[pdf["weight"].notna()].reset_index(drop=True).copy()
     w, r, n = t["weight"].to_numpy(float), t["max_repeats"].fillna(1).to_numpy(float), t["n_tokens"].to_numpy(float)
-    most, target = r * n, w * total
-    share = n / n.sum() if n.sum() else n
-    limit = most / total if total else most
-    a = temperature_exponent(share, entropy(w / w.sum() if w.sum() else w), limit)
-    temper = tempered(share, a)
-    t["natural_share"], t["tempered_share"], t["exponent"] = share, temper, a
-    t["target_tokens"], t["most_tokens"] = target, most.astype(np.int64)
-    t["reachable"] = most >= target
-    t["budget_tokens"] = fill(w, most, total * float(w.sum()), np.where(w > 0, temper, 0.0))
+    most = r * n
+    natural = n / total if total else n
+    a = np.array([temperature_exponent(s, x, total, m) for s, x, m in zip(natural, w, most)])
+    temper = np.array([tempered(s, x, e) for s, x, e in zip(natural, w, a)])
+    t["natural_share"], t["exponent"], t["tempered_share"] = natural, a, temper
+    t["target_tokens"], t["most_tokens"] = w * total, most.astype(np.int64)
+    t["reachable"] = a >= 1
+    # a source at its limit is held there; the others share what it leaves in the proportion of their weights
+    t["budget_tokens"] = normalised(temper, most, total * float(w.sum()))
     t["total_tokens"] = total
     t["max_repeats"] = r.astype(np.int32)
     return t[[c.split()[0] for c in PLAN_SCHEMA.split(", ")]]
@@ -101,9 +100,9 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """A row per source of `targets` (source, weight, max_repeats): its size,
-    natural and tempered share, whether it can reach weight x T within
-    max_repeats (T: tokens of all documents), and its token budget in a mixture
-    of T tokens. A source without documents is there with size 0; sources
+    natural share of T (the tokens of all documents), exponent and tempered
+    share, whether it can reach weight x T within max_repeats, and its token
+    budget in a mixture of T tokens times the sum of the weights. A source without documents is there with size 0; sources
     without a target count for T only; documents of a null source too. The
     group has as many rows as there are sources."""
     known = targets.groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
@@ -120,29 +119,35 @@ def token_sizes(documents: DataFrame, vocabulary=None) -> DataFrame:
 
 
 def mixture(sizes: DataFrame, plan_df: DataFrame) -> DataFrame:
-    """(doc_id, source, n_tokens, copies): each document that the mixture
-    holds and how often. A source's budget is passed whole as often as it fits;
-    in the last pass documents come in hash order while the sum of tokens stays
-    within what is left. A document of no tokens is taken with the whole passes
-    only. No document has more than max_repeats copies."""
+    """(doc_id, source, n_tokens, pass, position, at): a row for each time that
+    the mixture holds a document: in which pass over its source, at which place
+    of that pass from 1, and how far through the source's budget it ends, in
+    (0, 1], so that the order of `at` interleaves the sources evenly.
+
+    A budget is passed whole as often as it fits, and in one more pass as far
+    as it goes: whole blocks, then documents of the block in which it ends
+    while they fit. No row of documents occurs more than max_repeats times.
+    Sources without tokens or budget have no rows."""
     p = plan_df.where("n_tokens > 0 and budget_tokens > 0").select(
-        "source", "max_repeats", F.least(F.floor(F.col("budget_tokens") / F.col("n_tokens") + 1e-9), F.col("max_repeats")).cast("int").alias("passes"), "budget_tokens", F.col("n_tokens").alias("size")
+        "source", "max_repeats", F.least(F.floor(F.col("budget_tokens") / F.col("n_tokens") + 1e-9), F.col("max_repeats")).cast("int").alias("whole"), "budget_tokens", F.col("n_tokens").alias("size")
     )
-    p = p.withColumn("rest", F.when(F.col("passes") < F.col("max_repeats"), F.greatest(F.lit(0.0), F.col("budget_tokens") - F.col("passes") * F.col("size"))).otherwise(0.0))
-    d = sizes.join(p.select("source", "passes", "rest"), "source")
-    d = d.withColumn("h", F.xxhash64("doc_id", "passes")).withColumn("block", F.pmod(F.col("h"), F.lit(BLOCKS)))
-    per_block = d.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
-    before = F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    per_block = per_block.withColumn("before", F.coalesce(before, F.lit(0)))  # at most BLOCKS rows a source
-    per_block = per_block.select("source", "block", "before", (F.col("before") + F.col("t") <= F.col("rest")).alias("whole"), ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).alias("edge"))
-    d = d.join(per_block, ["source", "block"])
-    # only the block in which the budget ends is put in order
-    edge = d.where("edge")
-    upto = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("extra", (F.col("before") + upto <= F.col("rest")).cast("int"))
-    rest = d.where("not edge").withColumn("extra", F.col("whole").cast("int"))
-    both = edge.select("doc_id", "source", "n_tokens", "passes", "extra").unionByName(rest.select("doc_id", "source", "n_tokens", "passes", "extra"))
-    return both.select("doc_id", "source", "n_tokens", (F.col("passes") + F.col("extra")).alias("copies")).where("copies > 0")
+    rest = F.when(F.col("whole") < F.col("max_repeats"), F.greatest(F.lit(0.0), F.col("budget_tokens") - F.col("whole") * F.col("size"))).otherwise(0.0)
+    p = p.withColumn("rest", rest)
+    passes = p.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("whole") + (F.col("rest") > 0).cast("int")))).where("pass > 0")
+    d = sizes.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)))
+    # at most BLOCKS rows a source, and as many again for each pass
+    blocks = d.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).join(passes, "source")
+    before = Window.partitionBy("source", "pass").orderBy(F.xxhash64("block", "pass"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"tokens_before": F.coalesce(F.sum("t").over(before), F.lit(0)), "rows_before": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    limit = F.when(F.col("pass") <= F.col("whole"), F.col("size").cast("double")).otherwise(F.col("rest"))
+    blocks = blocks.withColumn("limit", limit).where((F.col("tokens_before") < F.col("limit")) | (F.col("pass") <= F.col("whole")))
+    blocks = blocks.withColumn("edge", F.col("tokens_before") + F.col("t") > F.col("limit")).select("source", "block", "pass", "tokens_before", "rows_before", "limit", "edge", "size", "budget_tokens")
+    d = d.join(blocks, ["source", "block"])
+    inside = Window.partitionBy("source", "pass", "block").orderBy(F.xxhash64("doc_id", "pass"), "doc_id", "n_tokens")
+    d = d.withColumns({"upto": F.col("tokens_before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "position": F.col("rows_before") + F.row_number().over(inside)})
+    # only where the budget ends the order decides what is taken
+    cols = ["doc_id", "source", "n_tokens", "pass", "position", (((F.col("pass") - 1) * F.col("size") + F.col("upto")) / F.col("budget_tokens")).alias("at")]
+    return d.where("not edge").select(*cols).unionByName(d.where("edge and upto <= limit").select(*cols))
 
 
 def shares(documents: DataFrame, targets: DataFrame, vocabulary=None) -> DataFrame:
@@ -151,7 +156,7 @@ def shares(documents: DataFrame, targets: DataFrame, vocabulary=None) -> DataFra
     shared checkpoint folder once, as the texts are encoded once."""
     sizes = cut(token_sizes(documents, vocabulary))
     p = cut(plan(sizes, targets))
-    got = mixture(sizes, p).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.max("copies").alias("most_copies"))
+    got = mixture(sizes, p).groupBy("source").agg(F.sum("n_tokens").alias("actual_tokens"), F.max("pass").alias("most_copies"))
     out = p.join(got, "source", "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
     whole = out.agg(F.sum("actual_tokens").alias("all_tokens"))
     return out.crossJoin(F.broadcast(whole)).select(  # one row

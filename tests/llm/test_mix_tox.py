@@ -19,20 +19,29 @@ def test_mixture_keeps_budget_and_limits(spark):
     total = sum(r[2] for r in rows)
     assert p["big"].total_tokens == total
     assert {k for k, r in p.items() if not r.reachable} == {"tiny", "absent"}
-    m = mixing.mixture(s, mixing.plan(s, t))
-    for r in m.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.max("copies").alias("c")).collect():
-        assert p[r.source].budget_tokens - 50 <= r.t <= p[r.source].budget_tokens + 1e-6 and r.c <= p[r.source].max_repeats
-    assert m.where("source = 'tiny'").count() == 5
+    m = mixing.mixture(s, mixing.plan(s, t)).cache()
+    for r in m.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.max("pass").alias("c"), F.max("at").alias("at")).collect():
+        assert p[r.source].budget_tokens - 50 <= r.t <= p[r.source].budget_tokens + 1e-6 and r.c <= p[r.source].max_repeats and r.at <= 1 + 1e-9
+    assert m.where("source = 'tiny'").count() == 20 and m.where("source = 'tiny'").select("doc_id").distinct().count() == 5
+    # sources below their limit keep the proportion of their weights
+    free = [k for k, r in p.items() if r.budget_tokens < r.most_tokens]
+    assert len({round(p[k].budget_tokens / p[k].weight, 3) for k in free}) == 1
+    # each pass is a permutation: places from 1 on without gaps, of other orders in other passes
+    for r in m.groupBy("source", "pass").agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count("*").alias("n"), F.count_distinct("position").alias("d")).collect():
+        assert r.lo == 1 and r.n == r.d and (r.hi == r.n or r["pass"] > p[r.source].budget_tokens // p[r.source].n_tokens)
+    order = {k: [x.doc_id for x in m.where(F.col("source") == "tiny").where(F.col("pass") == k).orderBy("position").collect()] for k in (1, 2, 3, 4)}
+    assert len({tuple(x) for x in order.values()}) > 1 and len({frozenset(x) for x in order.values()}) == 1
     assert mixing.plan(s.limit(0), t).where("reachable and total_tokens = 0").count() == 4 and mixing.plan(s, t.limit(0)).count() == 0
 
 
 def test_temperature():
-    share = np.array([0.7, 0.2, 0.1, 0.0])
-    a = mixing.temperature_exponent(share, 1.0)
-    assert mixing.entropy(mixing.tempered(share, a)) == pytest.approx(1.0, abs=1e-6)
-    assert mixing.temperature_exponent(share, mixing.entropy(share)) == pytest.approx(1.0, abs=1e-6)
-    limited = mixing.temperature_exponent(share, 9.0, np.array([1.0, 0.25, 0.15, 0.0]))
-    assert (mixing.tempered(share, limited) <= np.array([1.0, 0.25, 0.15, 0.0]) + 1e-9).all() and limited < 1
+    assert mixing.temperature_exponent(0.1, 0.3, 1000, 500) == 1.0 and mixing.temperature_exponent(0.0, 0.3, 1000, 0) == 0.0
+    a = mixing.temperature_exponent(0.1, 0.3, 1000, 200)
+    assert 0 < a < 1 and mixing.tempered(0.1, 0.3, a) * 1000 == pytest.approx(200)
+    assert mixing.temperature_exponent(0.0, 0.0, 1000, 0) == 1.0 and mixing.tempered(0.5, 0.0, 0.3) == 0.0
+    w, most = np.array([0.5, 0.3, 0.2]), np.array([900.0, 900.0, 100.0])
+    assert mixing.normalised(w, most, 1000) == pytest.approx([562.5, 337.5, 100])
+    assert mixing.normalised(w, most / 10, 1000) == pytest.approx(most / 10) and mixing.normalised(w * 0, most, 1000).sum() == 0
 
 
 def test_words_in_disguise():
