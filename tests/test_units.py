@@ -34,10 +34,47 @@ def test_viterbi_follows_switches():
     raw = truth.copy()
     raw[2:4] /= 1e3
     raw[5] *= 1e3
-    path = unit_hmm.viterbi(raw, np.full(8, np.log10(650)), np.full(8, 0.15), unit_hmm.FREQ_STATES)
+    path, value = unit_hmm.decode(raw, np.full(8, np.nan), np.full(8, np.log10(650)), np.full(8, 0.15), unit_hmm.FREQ_STATES)
+    assert value == pytest.approx(truth)
     assert [unit_hmm.FREQ_STATES[p][0] for p in path] == ["MHz", "MHz", "GHz", "GHz", "MHz", "kHz", "MHz", "MHz"]
 
 
+def test_the_level_moves_along_the_rows():
+    """A level that drifts by three decades, without quotes and with a prior
+    far off: only its neighbours tell in which unit a value is."""
+    rng = np.random.default_rng(3)
+    truth = 10 ** (np.linspace(1.5, 4.5, 900) + rng.normal(0, 0.05, 900))
+    in_ghz = rng.random(900) < 0.1
+    raw = np.where(in_ghz, truth / 1e3, truth)
+    stated = np.where(np.arange(900) % 20 == 0, truth, np.nan)
+    path, value = unit_hmm.decode(raw, stated, np.full(900, 3.0), np.full(900, 0.9), unit_hmm.FREQ_STATES)
+    assert (np.abs(value / truth - 1) < 1e-9).mean() > 0.98
+    flat, _ = unit_hmm.smooth(np.full(900, np.nan), np.full(900, 3.0), np.full(900, 0.9))
+    still = unit_hmm.viterbi(raw, flat, np.full(900, 0.9), np.full(900, np.nan), unit_hmm.FREQ_STATES)
+    assert ((still == 1) == in_ghz).mean() < ((path == 1) == in_ghz).mean()
+
+
+def test_a_value_that_no_unit_explains():
+    raw, stated = np.array([700.0, 716.0, 710.0, 0.7]), np.array([700.0, 700.0, 700.0, 700.0])
+    path, value = unit_hmm.decode(raw, stated, np.full(4, 2.8), np.full(4, 0.2), unit_hmm.FREQ_STATES)
+    assert list(path) == [0, len(unit_hmm.FREQ_STATES), 0, 1] and value[1] == 716.0
+
+
+def test_units_are_decoded_where_the_quote_is_hidden(spark):
+    """Of the rows that state a value every fourth quote is hidden; the decoded
+    value is compared with the stated one. Hours spread over more than the step
+    from hours to minutes, so only their base unit is told apart."""
+    r = spark.read.parquet("/root/testdata/sf0.1/requests.parquet")
+    told = unit_hmm.common_units(r).toPandas()
+    hidden = unit_hmm.common_units(r.withColumn("quote", F.when(F.expr("id % 4 = 1"), None).otherwise(F.col("quote")))).toPandas()
+    m = told.merge(hidden[hidden["id"] % 4 == 1], on="id", suffixes=("", "_h"))
+    for name, base, least in (("freq_mhz", "MHz", 0.75), ("hours", "h", 0.0)):
+        x = m[m[f"{name}_stated"].notna() & (m[f"{name}_raw"] > 0)]
+        right = (x[f"{name}_h"] - x[f"{name}_stated"]).abs() <= 0.02 * x[f"{name}_stated"]
+        in_base = x[f"{name}_unit"] == base
+        assert right[in_base].mean() >= 0.97 and right[~in_base].mean() >= least
+
+
 REQ = "id bigint, telescope string, band string, freq_mhz double, hours double, quote string, level_hours double, q string"
 
 
