@@ -1,25 +1,28 @@
 """Near-duplicate texts by a signature-coordinate inverted join.
 
 Texts of equal words collapse to one representative first. Each representative
-gets a MinHash of its word shingles, of which fixed sets of four make the
-coordinates of its signature: two texts agree in a coordinate with the fourth
+gets a MinHash of its word shingles, of which fixed sets of three make the
+coordinates of its signature: two texts agree in a coordinate with the third
 power of their similarity, so texts that merely share a vocabulary hardly ever
 do. It is posted under its coordinate-value pairs. A pair that occurs in one text only cannot collide and
 is dropped; of the others each text posts only a prefix, in order of rarity:
 two texts that agree in `min_match` coordinates must meet in the prefixes,
 because each prefix leaves out fewer than `min_match` of the coordinates that
-can collide. Pairs that meet are merged with what was skipped by comparing
-their MinHashes, and those above a match threshold are checked exactly on their
-shingles.
+can collide. Collisions of a pair are counted; those that its prefixes cannot
+have shown are merged in from the packed minima, and pairs above a match
+threshold are checked exactly on their shingles.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagest.functions.textfold import with_fold
@@ -30,6 +33,8 @@ from almagest.session import cut
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MEMO = 300_000
+#: Minima to a coordinate.
+SET = 3
 
 
 class Shingler:
@@ -40,16 +45,24 @@ class Shingler:
         rng = np.random.default_rng(20240229)
         self.mul = rng.integers(1, 2**63, minima, dtype=np.uint64) | np.uint64(1)
         self.add = rng.integers(0, 2**63, minima, dtype=np.uint64)
-        self.sets = np.stack([rng.choice(minima, 4, replace=False) for _ in range(coordinates)])
+        # each round of sets shares no minimum, so that coordinates fail as independently as they can
+        rounds = -(-coordinates // (minima // SET))
+        self.sets = np.concatenate([rng.permutation(minima)[: minima // SET * SET].reshape(-1, SET) for _ in range(rounds)])[:coordinates]
 
     def coordinates(self, minima: np.ndarray) -> np.ndarray:
-        """A value for each set of four minima."""
-        m, out = minima[self.sets], np.zeros(len(self.sets), dtype=np.uint64)
-        for j in range(4):
+        """A value for each set of minima, the number of the set mixed in."""
+        m, out = minima[self.sets], np.arange(len(self.sets), dtype=np.uint64) * _P
+        for j in range(SET):
             out = (out ^ (out >> np.uint64(29))) * _P + m[:, j]
         out = (out ^ (out >> np.uint64(32))) * _P
         return out ^ (out >> np.uint64(29))
 
+    @staticmethod
+    def packed(minima: np.ndarray) -> np.ndarray:
+        """Four bits of each minimum, sixteen minima to a number."""
+        nibbles = (minima & np.uint64(15)).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+        return np.bitwise_or.reduce(nibbles, axis=1)
+
     def hashes(self, text: str) -> tuple[np.ndarray, int]:
         """(sorted distinct shingle hashes, number of words)."""
         if len(self.words) > _MEMO:
@@ -80,8 +93,8 @@ class Shingler:
 
 def signatures(df: DataFrame, key: str, text: str, shingle: int, minima: int, coordinates: int, min_words: int) -> DataFrame:
     """(key, hashes, minima, coords) of the texts of at least `min_words`
-    words: the sorted distinct shingles, by which equal texts are told, a byte
-    of each minimum, and the coordinates of the signature."""
+    words: the sorted distinct shingles, by which equal texts are told, the
+    packed minima, and the coordinates of the signature."""
     cols = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
@@ -95,38 +108,47 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int, minima: int, co
                 if n >= min_words and len(h):
                     m = s.minima(h)
                     keys.append(k)
-                    for x, y in zip(parts, (h.view(np.int64), m.astype(np.uint8).view(np.int8), s.coordinates(m).view(np.int64))):
+                    for x, y in zip(parts, (h.view(np.int64), s.packed(m).view(np.int64), s.coordinates(m).view(np.int64))):
                         x.append(y)
             ends = lambda a: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in a])]).astype(np.int32))
             flat = lambda a, t: pa.array(np.concatenate(a) if a else np.zeros(0, t))
-            lists = [pa.ListArray.from_arrays(ends(a), flat(a, t)) for a, t in zip(parts, (np.int64, np.int8, np.int64))]
+            lists = [pa.ListArray.from_arrays(ends(a), flat(a, np.int64)) for a in parts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *lists], names=["key", "hashes", "minima", "coords"])
 
     kind = cols.schema["key"].dataType.simpleString()
-    return cols.mapInArrow(run, f"key {kind}, hashes array<bigint>, minima array<tinyint>, coords array<bigint>")
+    return cols.mapInArrow(run, f"key {kind}, hashes array<bigint>, minima array<bigint>, coords array<bigint>")
 
 
 def prefix_hits(reps: DataFrame, min_match: int) -> DataFrame:
-    """(a, b), a < b: the pairs of reps (rep, coords) that meet in their prefixes,
-    each once: among them every pair that agrees in `min_match` coordinates."""
-    posts = reps.select("rep", F.posexplode("coords").alias("coord", "value"))
+    """(a, b, met), a < b: the pairs of reps (rep, coords) that meet in their
+    prefixes and how often, each once: among them every pair that agrees in
+    `min_match` coordinates."""
+    posts = reps.select("rep", F.explode("coords").alias("value"))
     # counted where they are before the shuffle; values of one text drop out
-    often = posts.groupBy("coord", "value").agg(F.count("*").alias("df")).where("df > 1")
-    posts = posts.join(often, ["coord", "value"])
+    often = posts.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    posts = posts.join(often, "value")
     by_text = Window.partitionBy("rep")  # at most one row a coordinate
-    posts = posts.withColumn("n", F.count("*").over(by_text)).withColumn("r", F.row_number().over(by_text.orderBy("df", "coord")))
-    prefix = posts.where((F.col("n") >= min_match) & (F.col("r") <= F.col("n") - min_match + 1)).select("rep", "coord", "value")
+    posts = posts.withColumn("n", F.count("*").over(by_text)).withColumn("r", F.row_number().over(by_text.orderBy("df", "value")))
+    prefix = posts.where((F.col("n") >= min_match) & (F.col("r") <= F.col("n") - min_match + 1)).select("rep", "value")
     a, b = prefix.withColumnRenamed("rep", "a"), prefix.withColumnRenamed("rep", "b")
-    return a.join(b, ["coord", "value"]).where("a < b").select("a", "b").distinct()
+    return a.join(b, "value").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
 
 
-def agreeing(hits: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """The hits whose MinHashes can agree in `least` places, what the prefixes
-    skipped merged in: a byte of each tells, and never too few."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("minima").alias(f"m{x}"))
+def agreeing(hits: DataFrame, reps: DataFrame, least: int, minima: int) -> DataFrame:
+    """The hits whose MinHashes can agree in `least` of their `minima` places,
+    what the prefixes skipped merged in: four bits of each tell, and never too
+    few. Whole numbers are compared at a time."""
+    words = minima // 16
+    side = lambda x: reps.select(F.col("rep").alias(x), *[F.col("minima")[k].alias(f"{x}{k}") for k in range(words)])
     both = hits.join(side("a"), "a").join(side("b"), "b")
-    match = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda e: e))
-    return both.where(match >= least).select("a", "b")
+
+    def differing(k: int) -> Column:
+        x = F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    other = functools.reduce(operator.add, [differing(k) for k in range(words)])
+    return both.where(other <= minima - least).select("a", "b")
 
 
 def verified(hits: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -140,7 +162,7 @@ def verified(hits: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int = 5, min_words: int = 0, minima: int = 128, coordinates: int = 160, min_match: int = 2) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int = 5, min_words: int = 0, minima: int = 128, coordinates: int = 64, min_match: int = 2, sigmas: float | None = 4.2) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, jaccard) of representatives with a
     Jaccard similarity of at least `threshold` between their sets of runs of
     `shingle` words, and members (rep, key) of every text that takes part.
@@ -149,11 +171,10 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int =
     than `min_words` words, or without a run, take no part.
 
     Texts are compared that agree in `min_match` of the coordinates and, in
-    their minima, in no fewer than 4.2 standard deviations below the number
-    expected at the threshold. Of pairs right at a threshold of 0.6 about one
-    in 15,000 is missed (simulated), of pairs from 0.65 on none in 200,000.
+    four bits of their minima, in no fewer than `sigmas` standard deviations
+    below the number expected at the threshold (None: whatever the number). Of
+    pairs right at a threshold of 0.6 about one in 30,000 is missed (simulated).
     """
-    least = max(1, int(minima * threshold - 4.2 * (minima * threshold * (1 - threshold)) ** 0.5))
     s = signatures(over_all_cores(df), key, text, shingle, minima, coordinates, min_words)
     s = cut(s.withColumn("same", F.struct(F.xxhash64("hashes"), F.xxhash64(F.lit("again"), "hashes"), F.size("hashes"))))
     first = s.groupBy("same").agg(F.min("key").alias("rep"))
@@ -161,9 +182,11 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int =
     # the long columns move once, and then only those of texts that have a hit
     only = first.select(F.col("rep").alias("key"))
     reps = lambda c: s.select("key", c).join(only, "key", "left_semi").withColumnRenamed("key", "rep")
-    hits = cut(agreeing(prefix_hits(reps("coords"), min_match), reps("minima"), least))
-    pairs = verified(hits, s.select(F.col("key").alias("rep"), "hashes"), threshold)
-    return pairs, members
+    hits = prefix_hits(reps("coords"), min_match)
+    if sigmas is not None:
+        same = threshold + (1 - threshold) / 16
+        hits = agreeing(hits, reps("minima"), max(1, int(minima * same - sigmas * (minima * same * (1 - same)) ** 0.5)), minima)
+    return verified(cut(hits.select("a", "b")), s.select(F.col("key").alias("rep"), "hashes"), threshold), members
 
 
 def found(terms: DataFrame, threshold: float = 0.6, shingle: int = 3, min_words: int = 20) -> DataFrame:
@@ -197,3 +220,20 @@ def groups(terms: DataFrame, threshold: float = 0.6, shingle: int = 3, min_words
     m = m.join(size, "component").select(F.col("key").alias("chunk_id"), F.col("component").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rest = terms.select("chunk_id").join(m.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", F.col("chunk_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
     return m.unionByName(rest)
+
+
+def representative_pairs(terms: DataFrame, threshold: float = 0.6, shingle: int = 3, min_words: int = 20) -> DataFrame:
+    """(rep_a, rep_b, jaccard), rep_a < rep_b: the pairs of different texts that
+    are as similar as found() says, each text named by its smallest chunk_id.
+    With membership() it holds every link; copies are not expanded into pairs."""
+    t = with_fold(terms.select("chunk_id", "text"), "text", "folded")
+    return similar(t, "chunk_id", "folded", threshold, shingle, min_words)[0].select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "jaccard")
+
+
+def membership(terms: DataFrame, shingle: int = 3, min_words: int = 20) -> DataFrame:
+    """(chunk_id, rep): the text that each chunk of min_words words or more is a
+    copy of, by its set of shingles; its own where there is no other."""
+    t = with_fold(terms.select("chunk_id", "text"), "text", "folded")
+    s = signatures(over_all_cores(t), "chunk_id", "folded", shingle, 16, 1, min_words)
+    s = cut(s.select("key", F.struct(F.xxhash64("hashes"), F.xxhash64(F.lit("again"), "hashes"), F.size("hashes")).alias("same")))
+    return s.join(s.groupBy("same").agg(F.min("key").alias("rep")), "same").select(F.col("key").alias("chunk_id"), "rep")

@@ -76,6 +76,16 @@ def p2_groups(spark, d):
     return neardup.groups(table(spark, d, "terms"))
 
 
+@_query
+def p2_pairs(spark, d):
+    return neardup.representative_pairs(table(spark, d, "terms"))
+
+
+@_query
+def p2_members(spark, d):
+    return neardup.membership(table(spark, d, "terms"))
+
+
 @_query
 def p5_found(spark, d):
     return namematch.found(*[table(spark, d, n) for n in ("names", "sources", "catalog_aliases")])
