@@ -66,6 +66,11 @@ def p1_pieces(spark, d):
     return segment.split(table(spark, d, "terms"), table(spark, d, "chunk_limits"))
 
 
+@_query
+def p1_cuts(spark, d):
+    return segment.cut_report(table(spark, d, "terms"), table(spark, d, "chunk_limits"))
+
+
 @_query
 def p2_found(spark, d):
     return neardup.found(table(spark, d, "terms"))

@@ -1,18 +1,18 @@
 """Splitting oversized texts at natural boundaries.
 
-Lexical cohesion decides where to cut: the words before and after each possible
-gap are compared as sliding blocks, and gaps where the similarity is lowest
-(valleys) mark a change of topic. Within the window in which the next cut must
-fall, the best kind of boundary is taken first (paragraph, line, sentence, word),
-and among the gaps of that kind the deepest valley. Where the window has none, the
-last gap of the best kind before it is taken, and any character if there is none.
+Lexical cohesion decides where to cut: the words before and after each gap are
+compared as sliding blocks, which gives a curve of similarity over the whole
+text, and its valleys mark changes of topic. Within the window in which the next
+cut must fall, each end of a paragraph, line, sentence or word counts with the
+depth of the valley it lies in and a bonus for its kind; the best is taken, of
+equals the last. Where the window has no such end, the last one of the best kind
+before it is taken, and any character if there is none.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Words in the block on each side of a gap, and the least part of the limit that a piece fills where a boundary allows it.
 BLOCK_WORDS, LEAST_FILL = 40, 0.5
+#: Kinds of boundaries and what each adds to the depth of its valley, which is at most 2.
+KINDS, BONUS = ("paragraph", "line", "sentence", "word"), (0.8, 0.5, 0.3, 0.0)
 
 _WORDS = re.compile(r"\w+")
 _PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:(?:\r\n|\n|\r)[^\S\r\n]*)+")
@@ -40,34 +42,59 @@ def boundaries(text: str) -> list[list[int]]:
     return out
 
 
-class Cohesion:
-    """Cosine similarity of the words before and after a position."""
-
-    def __init__(self, text: str, block: int = BLOCK_WORDS):
+def cohesion(ids: np.ndarray, block: int = BLOCK_WORDS) -> np.ndarray:
+    """The cosine of the word counts of the `block` words before and after each
+    gap k, which lies before word k; 0 at both ends. Each pair of equal words is
+    added to the ranges of gaps that have it within or across their blocks."""
+    n = len(ids)
+    dot, left, right = (np.zeros(n + 2, dtype=np.int64) for _ in range(3))
+
+    def add(to: np.ndarray, first: np.ndarray, last: np.ndarray, amount: int) -> None:
+        first, last = np.maximum(first, 0), np.minimum(last, n)
+        ok = first <= last
+        np.add.at(to, first[ok], amount)
+        np.add.at(to, last[ok] + 1, -amount)
+
+    at = np.arange(n)
+    add(left, at + 1, at + block, 1)
+    add(right, at - block + 1, at, 1)
+    order = np.argsort(ids, kind="stable")
+    for lag in range(1, n):
+        i, j = order[:-lag], order[lag:]
+        near = (ids[i] == ids[j]) & (j - i < 2 * block)
+        if not near.any():
+            break
+        i, j = i[near], j[near]
+        add(dot, np.maximum(i + 1, j - block + 1), np.minimum(j, i + block), 1)
+        within = j - i < block
+        i, j = i[within], j[within]
+        add(left, j + 1, i + block, 2)
+        add(right, j - block + 1, i, 2)
+    d, a, b = (np.cumsum(x)[: n + 1] for x in (dot, left, right))
+    return np.where((a > 0) & (b > 0), d / np.sqrt(np.maximum(a, 1) * np.maximum(b, 1)), 0.0)
+
+
+def depths(curve: np.ndarray, reach: int = BLOCK_WORDS) -> np.ndarray:
+    """How deep each gap lies below the highest similarity within `reach` gaps
+    on either side, both added up."""
+    if not len(curve):
+        return curve
+    padded = np.concatenate([np.zeros(reach), curve, np.zeros(reach)])
+    highest = np.lib.stride_tricks.sliding_window_view(padded, reach + 1).max(axis=1)
+    return np.maximum(highest[: len(curve)] - curve, 0) + np.maximum(highest[reach : reach + len(curve)] - curve, 0)
+
+
+class Valleys:
+    """The depth of the valley at positions of a text."""
+
+    def __init__(self, text: str):
         found = [(m.start(), m.group().lower()) for m in _WORDS.finditer(text)]
-        self.starts = [s for s, _ in found]
         index: dict[str, int] = {}
-        self.ids = [index.setdefault(w, len(index)) for _, w in found]
-        self.block = block
-        self.memo: dict[int, float] = {}
+        self.starts = [s for s, _ in found]
+        self.depth = depths(cohesion(np.array([index.setdefault(w, len(index)) for _, w in found], dtype=np.int64)))
 
     def at(self, position: int) -> float:
-        k = bisect_left(self.starts, position)
-        if k not in self.memo:
-            a, b = Counter(self.ids[max(0, k - self.block) : k]), Counter(self.ids[k : k + self.block])
-            if not a or not b:
-                self.memo[k] = 0.0
-            else:
-                dot = sum(n * b[w] for w, n in a.items() if w in b)
-                self.memo[k] = dot / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5
-        return self.memo[k]
-
-
-def _depths(values: list[float]) -> list[float]:
-    """The depth of each gap below the highest similarity on either side."""
-    v = np.asarray(values)
-    left, right = np.maximum.accumulate(v), np.maximum.accumulate(v[::-1])[::-1]
-    return list((left - v) + (right - v))
+        return round(float(self.depth[bisect_left(self.starts, position)]), 9)
 
 
 def _safe(text: str, cut: int) -> int:
@@ -79,30 +106,28 @@ def _safe(text: str, cut: int) -> int:
     return k
 
 
-def pieces(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a text in code points, in order. Every
-    piece has at most `max_chars`; consecutive ones share exactly
-    `overlap_chars` (less where a smaller limit makes that impossible); together
-    they cover the text. A text within the limit is one piece.
+def cuts(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int, str | None, float | None]]:
+    """(start, end, kind, valley) of the pieces of a text in code points, in
+    order: by which kind of boundary a piece ends (None: by none, or with the
+    text) and how deep the valley is there. Every piece has at most `max_chars`;
+    consecutive ones share exactly `overlap_chars` (less where a smaller limit
+    makes that impossible); together they cover the text. A text within the
+    limit is one piece.
     """
     n = len(text)
     max_chars = max(1, max_chars)
     overlap = max(0, min(overlap_chars, max_chars - 1, max_chars // 2))
     if n <= max_chars:
-        return [(0, n)]
-    kinds, cohesion = boundaries(text), Cohesion(text)
+        return [(0, n, None, None)]
+    kinds, valleys = boundaries(text), Valleys(text)
+    best_kind = {p: k for k in range(len(kinds) - 1, -1, -1) for p in kinds[k]}
     out, start = [], 0
     while n - start > max_chars:
         hi = start + max_chars
         lo = start + max(overlap + 1, int(max_chars * LEAST_FILL))
-        cut = 0
-        for ends in kinds:
-            window = ends[bisect_left(ends, lo) : bisect_right(ends, hi)]
-            if window:
-                depth = _depths([cohesion.at(p) for p in window])
-                # of equal valleys the last, which leaves fewer pieces
-                cut = max(zip(depth, window))[1]
-                break
+        window = kinds[-1][bisect_left(kinds[-1], lo) : bisect_right(kinds[-1], hi)]
+        # of equals the last, which leaves fewer pieces
+        cut = max(window, key=lambda p: (valleys.at(p) + BONUS[best_kind[p]], p), default=0)
         if not cut:
             # a run without a boundary fills the window: end before it, at the last of the best kind
             for ends in kinds:
@@ -110,20 +135,27 @@ def pieces(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int
                 if k and ends[k - 1] > start + overlap:
                     cut = ends[k - 1]
                     break
+        kind, valley = (KINDS[best_kind[cut]], valleys.at(cut)) if cut else (None, None)
         if not cut:
             cut = _safe(text, hi)
             if cut <= start + overlap:
                 cut = hi
-        out.append((start, cut))
+        out.append((start, cut, kind, valley))
         start = cut - overlap
-    out.append((start, n))
+    out.append((start, n, None, None))
     return out
 
 
+def pieces(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a text."""
+    return [(a, z) for a, z, _, _ in cuts(text, max_chars, overlap_chars)]
+
+
 def split(terms: DataFrame, limits: DataFrame) -> DataFrame:
     """The pieces of each row of terms: chunk_id, piece (0 on), n_pieces,
     start, end (code points of the text as stored), text, section_path,
-    chunk_index, source, max_chars, overlap_chars.
+    chunk_index, source, max_chars, overlap_chars, and of a piece that ends
+    before its text does cut_kind and valley (see cuts()).
 
     The limit is that of meta.doc_source, the row `default` serving null and
     unlisted ones. Texts within the limit pass through in the JVM as one piece;
@@ -139,23 +171,27 @@ def split(terms: DataFrame, limits: DataFrame) -> DataFrame:
     t = t.where("text is not null")
     long = F.length("text") > F.col("max_chars")
     fits = t.where(~F.coalesce(long, F.lit(False))).select(
-        "chunk_id", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("text").alias("end"), "text", "section_path", "chunk_index", "source", "max_chars", "overlap_chars"
-    )
+        "chunk_id", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("text").alias("end"), "text", "section_path", "chunk_index", "source", "max_chars", "overlap_chars",
+        F.lit(None).cast("string").alias("cut_kind"), F.lit(None).cast("double").alias("valley"),
+    )
 
     names, schema = fits.columns, fits.schema
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                text, most, over = (row.column(b.schema.get_field_index(c))[0].as_py() for c in ("text", "max_chars", "overlap_chars"))
-                spans = pieces(text, most, over)
-                k = len(spans)
-                same = lambda c: pa.array([row.column(b.schema.get_field_index(c))[0].as_py()] * k, row.schema.field(c).type)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [same("chunk_id"), pa.array(range(k), pa.int32()), pa.array([k] * k, pa.int32()), pa.array([a for a, _ in spans], pa.int32()), pa.array([z for _, z in spans], pa.int32()), pa.array([text[a:z] for a, z in spans]), same("section_path"), same("chunk_index"), same("source"), same("max_chars"), same("overlap_chars")],
-                    names=names,
-                )
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                b = whole.slice(i, 64)
+                get = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+                rows, new = [], {c: [] for c in ("piece", "n_pieces", "start", "end", "text", "cut_kind", "valley")}
+                for row, (text, most, over) in enumerate(zip(get("text"), get("max_chars"), get("overlap_chars"))):
+                    spans = cuts(text, most, over)
+                    rows += [row] * len(spans)
+                    for k, (a, z, kind, valley) in enumerate(spans):
+                        for c, v in zip(new, (k, len(spans), a, z, text[a:z], kind, valley)):
+                            new[c].append(v)
+                kept = b.take(pa.array(rows, pa.int64()))
+                types = {"text": pa.string(), "cut_kind": pa.string(), "valley": pa.float64()}
+                yield pa.RecordBatch.from_arrays([pa.array(new[c], types.get(c, pa.int32())) if c in new else kept.column(kept.schema.get_field_index(c)) for c in names], names=names)
 
     return fits.unionByName(t.where(long).mapInArrow(run, schema))
 
@@ -163,3 +199,10 @@ def split(terms: DataFrame, limits: DataFrame) -> DataFrame:
 def found(terms: DataFrame, limits: DataFrame) -> DataFrame:
     """(chunk_id) of the rows that come out in more than one piece."""
     return split(terms, limits).where("n_pieces > 1 and piece = 0").select("chunk_id")
+
+
+def cut_report(terms: DataFrame, limits: DataFrame) -> DataFrame:
+    """(cut_kind, n_cuts, n_valleys, mean_valley): by which boundaries texts were
+    cut, and how many of these lie in a valley of the similarity curve."""
+    p = split(terms, limits).where("piece < n_pieces - 1")
+    return p.groupBy(F.coalesce("cut_kind", F.lit("none")).alias("cut_kind")).agg(F.count("*").alias("n_cuts"), F.count_if(F.col("valley") > 0.1).alias("n_valleys"), F.avg("valley").alias("mean_valley"))

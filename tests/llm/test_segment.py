@@ -42,6 +42,28 @@ def test_cut_falls_where_the_topic_changes():
     assert check(text, len(a) * 24, 0)[0][1] == len(a) * 18
 
 
+def test_a_deep_valley_outweighs_a_better_kind_of_boundary():
+    a, b = "pulsar timing glitch spin noise ", "galaxy cluster halo redshift mass "
+    text = (a * 9)[:-1] + ".\n" + a * 9 + b * 8
+    got = segment.cuts(text, len(a) * 24, 0)[0]
+    assert got[1:3] == (len(a) * 18 + 1, "word") and got[3] > 1
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=60), st.integers(1, 9))
+def test_cohesion_is_the_cosine_of_both_blocks(ids, block):
+    from collections import Counter
+
+    import numpy as np
+
+    def cosine(k):
+        x, y = Counter(ids[max(0, k - block) : k]), Counter(ids[k : k + block])
+        return sum(v * y[w] for w, v in x.items()) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5 if x and y else 0.0
+
+    got = segment.cohesion(np.array(ids, dtype=np.int64), block)
+    assert np.allclose(got, [cosine(k) for k in range(len(ids) + 1)])
+
+
 def test_found_equals_sql(spark, data):
     got, want = both(spark, connection(data), data, queries.QUERIES["p1_found"], queries.SQL["p1_found"])
     assert got == want
