@@ -146,7 +146,7 @@ def x28_zones(spark, d):
 
 @query(
     "x26_reads_as_references",
-    f"with {_CHUNKS} select chunk_id, len(regexp_extract_all(text, $${documents.REF_ENTRY}$$)) >= greatest(3.0, length(text) / 250) as refs from c",
+    f"with {_CHUNKS} select chunk_id, len(regexp_extract_all(text, $${documents.REF_ENTRY.replace("*+", "*")}$$)) >= greatest(3.0, length(text) / 250) as refs from c",
 )
 def x26_reads_as_references(spark, d):
     return latest_chunks(spark, d).select("chunk_id", documents.reads_as_references(F.col("text")).alias("refs"))
