@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almagest.session import spread_of
+
 # Latitude and longitude of the two sites in degrees, their lowest elevations, and planning assumptions.
 SITES = {"low": (-26.82, 116.76), "mid": (-30.72, 21.44)}
 LOWEST = {"low": 20.0, "mid": 15.0}
@@ -45,12 +47,12 @@ def grid(telescope: str, year: int) -> dict[str, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=8)
-def _cumulative(telescope: str, year: int) -> np.ndarray:
-    """Hours of each month up to each of FINE + 1 places of the sidereal day."""
+def _density(telescope: str, year: int) -> np.ndarray:
+    """Hours of each month at each of FINE places of the sidereal day, by hour."""
     g = grid(telescope, year)
     n = np.zeros((12, FINE))
     np.add.at(n, (g["month"], np.minimum((g["lst"] / 24 * FINE).astype(int), FINE - 1)), STEP_H)
-    return np.concatenate([np.zeros((12, 1)), np.cumsum(n, axis=1)], axis=1)
+    return n.reshape(12, 24, FINE // 24)
 
 
 def half_arc(dec: np.ndarray, lat: float, elevation: float) -> np.ndarray:
@@ -63,24 +65,41 @@ def half_arc(dec: np.ndarray, lat: float, elevation: float) -> np.ndarray:
     return np.where(c <= -1, 12.0, np.where(c > 1, -1.0, np.degrees(np.arccos(np.clip(c, -1, 1))) / 15))
 
 
+def coverage(owner: np.ndarray, n: int, ra: np.ndarray, arc: np.ndarray) -> np.ndarray:
+    """How many arcs, of half the given hours about their right ascension,
+    cover each of FINE places of the sidereal day, for each of n owners: ends
+    are added where they fall, in parts, and summed up along the day."""
+    steps = np.zeros((n, FINE + 2))
+    some = arc >= 0
+    owner, ra, arc = owner[some], ra[some] / 15, arc[some]
+    first = np.where(arc >= 12, 0.0, (ra - arc) % 24)
+    last = np.where(arc >= 12, 24.0, first + 2 * arc)
+
+    def end(at: np.ndarray, of: np.ndarray, sign: float) -> None:
+        x = np.clip(at, 0, 24) / 24 * FINE
+        k = np.floor(x).astype(int)
+        np.add.at(steps, (of, k), sign * (1 - (x - k)))
+        np.add.at(steps, (of, k + 1), sign * (x - k))
+
+    end(first, owner, 1.0)
+    end(last, owner, -1.0)
+    over = last > 24  # an arc across the day's end goes on at its start
+    end(np.zeros(over.sum()), owner[over], 1.0)
+    end(last[over] - 24, owner[over], -1.0)
+    return np.cumsum(steps, axis=1)[:, :FINE]
+
+
+def cells_of(owner: np.ndarray, n: int, ra: np.ndarray, dec: np.ndarray, telescope: str, year: int, elevation: np.ndarray) -> np.ndarray:
+    """Hours above the elevation per owner, month and sidereal hour, the mean
+    over the owner's positions, those never up included."""
+    cover = coverage(owner, n, ra, half_arc(dec, SITES[telescope][0], elevation)).reshape(n, 24, FINE // 24)
+    count = np.maximum(np.bincount(owner, minlength=n), 1)
+    return np.einsum("mbk,nbk->nmb", _density(telescope, year), cover, optimize=True) / count[:, None, None]
+
+
 def cells(ra: np.ndarray, dec: np.ndarray, telescope: str, year: int, elevation: float) -> np.ndarray:
-    """Hours above the elevation per month and sidereal hour, the mean over the
-    given positions, those never up included."""
-    cum, lat = _cumulative(telescope, year), SITES[telescope][0]
-    at = lambda h: np.stack([np.interp(h / 24 * FINE, np.arange(FINE + 1), cum[m]) for m in range(12)])
-    out, arc = np.zeros((12, 24)), half_arc(dec, lat, elevation)
-    edges = np.arange(25.0)
-    for r, h in zip(ra / 15, arc):
-        if h < 0:
-            continue
-        if h >= 12:
-            out += np.diff(at(edges), axis=1)
-            continue
-        lo, hi = (r - h) % 24, (r - h) % 24 + 2 * h
-        for a, b in ((lo, min(hi, 24.0)), (0.0, hi - 24.0)):
-            if b > a:
-                out += np.diff(at(np.clip(edges, a, b)), axis=1)
-    return out / max(len(ra), 1)
+    """cells_of() one owner."""
+    return cells_of(np.zeros(len(ra), int), 1, ra, dec, telescope, year, np.full(len(ra), elevation))[0]
 
 
 def cells_by_step(ra: np.ndarray, dec: np.ndarray, telescope: str, year: int, elevation: float, sun: str) -> np.ndarray:
@@ -153,37 +172,60 @@ def demand(requests: DataFrame, year: int, elevation: float = ELEVATION, with_su
     cols = [F.col(c) if c in requests.columns else F.lit(None).cast("double").alias(c) for c in _INPUT]
     r = requests.select(*cols).where(F.col("telescope").isin(*SITES) & (F.col("hours") > 0) & ~F.isnan("hours"))
 
+    if n := spread_of(requests.sparkSession):
+        r = r.repartition(n)
+
+    def place(pdf: pd.DataFrame, telescope: str) -> pd.DataFrame:
+        """The rows of one telescope of a batch."""
+        lat, low, n = SITES[telescope][0], LOWEST[telescope], len(pdf)
+        where = [positions(row, lat) for row in pdf.itertuples(index=False)]
+        owner = np.repeat(np.arange(n), [len(x) for x, _ in where])
+        ra, dec = (np.concatenate([x[k] for x in where]) for k in (0, 1))
+        limit = pdf["min_elevation"].fillna(elevation).to_numpy(float)
+        sun = [x if with_sun and isinstance(x, str) else "any" for x in pdf["sun"]]
+
+        def avail(which: np.ndarray, least: np.ndarray) -> np.ndarray:
+            """Cells of the requests `which`, by their Sun constraint."""
+            plain = which & np.array([x == "any" for x in sun], dtype=bool)
+            keep = plain[owner]
+            out = cells_of(owner[keep], n, ra[keep], dec[keep], telescope, year, least[owner[keep]])
+            for k in np.flatnonzero(which & ~plain):
+                out[k] = cells_by_step(ra[owner == k], dec[owner == k], telescope, year, least[k], sun[k])
+            return out
+
+        has = np.bincount(owner, minlength=n) > 0
+        a = avail(has, limit)
+        state = np.where(has, "placed", "unplaced").astype(object)
+        none = has & (a.sum((1, 2)) == 0)
+        if none.any():
+            again = avail(none & (limit > low), np.full(n, low))
+            a[none] = again[none]
+            state[none] = np.where(a[none].sum((1, 2)) > 0, "relaxed", "never")
+        total, hours = a.sum((1, 2)), pdf["hours"].to_numpy(float)
+        k, m, b = np.nonzero(a)
+        rest = np.flatnonzero(total == 0)
+        at = np.concatenate([k, rest])
+        grp = [g if isinstance(g, str) and g else f"#{i}" for g, i in zip(pdf["commensal_group"], pdf["id"])]
+        return pd.DataFrame(
+            {
+                "id": pdf["id"].to_numpy()[at], "telescope": telescope, "grp": np.array(grp, dtype=object)[at],
+                "month": pd.array([*(m + 1), *[None] * len(rest)], dtype="Int32"), "lst_bin": pd.array([*b, *[None] * len(rest)], dtype="Int32"),
+                "hours": np.concatenate([hours[k] * a[k, m, b] / np.where(total > 0, total, 1)[k], hours[rest]]), "state": state[at],
+            }
+        )
+
     def spread(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                lat, low = SITES[row.telescope][0], LOWEST[row.telescope]
-                grp = row.commensal_group if isinstance(row.commensal_group, str) and row.commensal_group else f"#{row.id}"
-                ra, dec = positions(row, lat)
-                limit = float(row.min_elevation) if pd.notna(row.min_elevation) else elevation
-                sun = row.sun if with_sun and isinstance(row.sun, str) else "any"
-                avail = lambda e: cells(ra, dec, row.telescope, year, e) if sun == "any" else cells_by_step(ra, dec, row.telescope, year, e, sun)  # noqa: B023, E731
-                state, a = ("placed", avail(limit)) if len(ra) else ("unplaced", np.zeros((12, 24)))
-                if len(ra) and a.sum() == 0:
-                    a = avail(low) if limit > low else a
-                    state = "relaxed" if a.sum() > 0 else "never"
-                if a.sum() > 0:
-                    share = row.hours * a / a.sum()
-                    m, b = np.nonzero(share)
-                    out.append(pd.DataFrame({"id": row.id, "telescope": row.telescope, "grp": grp, "month": m + 1, "lst_bin": b, "hours": share[m, b], "state": state}))
-                else:
-                    out.append(pd.DataFrame({"id": [row.id], "telescope": [row.telescope], "grp": [grp], "month": [None], "lst_bin": [None], "hours": [row.hours], "state": [state]}))
-            if out:
-                df = pd.concat(out, ignore_index=True)
-                df["month"], df["lst_bin"] = df["month"].astype("Int32"), df["lst_bin"].astype("Int32")
-                yield df
+            for i in range(0, len(pdf), 256):
+                for telescope, part in pdf.iloc[i : i + 256].groupby("telescope"):
+                    yield place(part.reset_index(drop=True), telescope)
 
     return r.mapInPandas(spread, "id bigint, telescope string, grp string, month int, lst_bin int, hours double, state string")
 
 
 def supply(spark, year: int, years: float = YEARS) -> DataFrame:
     """(telescope, month, lst_bin, supply): clock hours less maintenance; 576 rows."""
-    rows = [(t, m + 1, b, float(c[m, b]) * (1 - MAINTENANCE) * years) for t in SITES for c in [np.diff(_cumulative(t, year)[:, :: FINE // 24], axis=1)] for m in range(12) for b in range(24)]
+    rows = [(t, m + 1, b, float(c[m, b]) * (1 - MAINTENANCE) * years) for t in SITES for c in [_density(t, year).sum(axis=2)] for m in range(12) for b in range(24)]
     return spark.createDataFrame(rows, "telescope string, month int, lst_bin int, supply double")
 
 
