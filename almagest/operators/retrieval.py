@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 # BM25 saturation, length weight and floor of the inverse document frequency; the constant and weights of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, W_FIRST, W_SECOND = 60, 1.0, 0.5
-#: Queries and vectors of a block of the nearest-neighbour search.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Queries and vectors of a block of the nearest-neighbour search, and the queries of a step within it.
+QUERY_BLOCK, VECTOR_BLOCK, STEP = 8192, 4096, 512
+#: Best score below which an answer is weak, and the places of a hashed vector.
+WEAK, PLACES = 0.3, 64
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters, digits and underscores, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    """What stands between blanks, in lower case."""
+    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
 
 
 def top_per_query(scored: DataFrame, score: str, n: int) -> DataFrame:
@@ -36,25 +38,57 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of docs (id, text) that share a token with queries
     (query_id, text). Frequencies are of all docs; a token repeated in a query
     counts as often; a negative inverse document frequency is replaced by
-    EPSILON times the mean one. Null texts are empty."""
-    t = docs.select("id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("token"))
-    tf = t.groupBy("id", "token").agg(F.count("*").alias("tf"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
+    EPSILON times the mean one. Null texts are empty. Texts are split once:
+    lengths travel with the tokens, whose counts serve frequencies and scores."""
+    words = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    tf = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
+    stats = docs.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))  # one row
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "avgdl")  # one row
+    idf = df.crossJoin(F.broadcast(stats)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), (F.col("all") / F.col("n")).alias("avgdl"))  # one row
     mean = idf.agg(F.avg("idf").alias("mean"))
     q = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     # only tokens that some query has go on
     w = q.join(idf, "token").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
-    length = docs.select("id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl"))
-    hit = w.join(tf, "token").join(length, "id")
     s = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "id").agg(F.sum(s).alias("score"))
+    return w.join(tf, "token").groupBy("query_id", "id").agg(F.sum(s).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The n best documents of each query, scores compared to six places."""
-    return top_per_query(bm25(docs, queries).withColumn("r", F.round("score", 6)), "r", n).select("query_id", "id", "score", "rank")
+def bm25_top(docs: DataFrame, queries: DataFrame, n: int, allowed: DataFrame | None = None) -> DataFrame:
+    """The n best documents of each query, of those `allowed` (id) names, scores
+    compared to six places. Frequencies are of all documents, whatever is
+    allowed. Documents that share no token with a query score 0 and follow the
+    others by id; the first 2n of them suffice for any query."""
+    hit = bm25(docs, queries)
+    every = docs.select("id")
+    if allowed is not None:
+        hit, every = hit.join(allowed, "id", "left_semi"), allowed.select("id")
+    best = top_per_query(hit.withColumn("r", F.round("score", 6)), "r", n)
+    first = every.orderBy("id").limit(2 * n).agg(F.collect_list("id").alias("ids"))  # 2n ids at most
+    short = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("k")), "query_id", "left").where(F.coalesce("k", F.lit(0)) < n)
+    fill = short.crossJoin(F.broadcast(first)).select("query_id", F.explode("ids").alias("id")).join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")  # one row
+    both = best.select("query_id", "id", "score").unionByName(fill.withColumn("score", F.lit(0.0)))
+    return top_per_query(both.withColumn("r", F.round("score", 6)), "r", n).select("query_id", "id", "score", "rank")
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, places: int = PLACES) -> DataFrame:
+    """(key, embedding): the words of a text hashed to signed places, of length
+    1; a stand-in for an encoder. A text without words gives null."""
+    w = df.select(key, F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("w")).withColumn("h", F.xxhash64("w"))
+    w = w.withColumn("at", F.pmod("h", F.lit(places)).cast("int")).withColumn("sign", F.when(F.col("h").bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0))
+    sums = w.groupBy(key).agg(*[F.sum(F.when((F.col("at") == k) & F.col("w").isNotNull(), F.col("sign")).otherwise(0.0)).alias(f"v{k}") for k in range(places)])
+    vector = F.array(*[F.col(f"v{k}") for k in range(places)])
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+    return sums.select(key, F.when(norm > 0, F.transform(vector, lambda x: x / norm)).alias("embedding"))
+
+
+def similarity_score(distance: Column) -> Column:
+    """A cosine distance in [0, 2] as a score in [0, 1], to four places."""
+    return F.round(F.greatest(F.lit(0.0), 1 - distance / 2), 4)
+
+
+def priority_of(doc_source: Column, weights: dict[str, float]) -> Column:
+    """The factor of a collection, 1 where none is named."""
+    return F.coalesce(*[F.when(doc_source == k, F.lit(float(v))) for k, v in weights.items()], F.lit(1.0))
 
 
 def _in_blocks(df: DataFrame, key: str, size: int, block: str, ids: str, vecs: str) -> tuple[DataFrame, int]:
@@ -76,19 +110,27 @@ def knn(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     v, _ = _in_blocks(vectors, "id", VECTOR_BLOCK, "p", "vi", "vv")
     meetings = v.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))).join(q, "b").select("qi", "qv", "vi", "vv")
 
+    def matrix(column, i: int) -> np.ndarray:
+        rows = column[i].values
+        return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                qi, qv, vi, vv = (np.array(batch.column(k)[i].as_py()) for k in range(4))
-                qn, vn = np.linalg.norm(qv, axis=1), np.linalg.norm(vv, axis=1)
+                qi, vi = (batch.column(k)[i].values.to_numpy() for k in (0, 2))
+                qv, vv = matrix(batch.column(1), i), matrix(batch.column(3), i)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    c = np.round((qv @ vv.T) / (qn[:, None] * vn[None, :]), 6)
-                c[~np.isfinite(c)] = -np.inf
-                order = np.lexsort((np.broadcast_to(vi, c.shape), -c), axis=1)[:, :n]
-                row, at = np.repeat(np.arange(len(qi)), order.shape[1]), order.ravel()
-                cos = c[row, at]
-                ok = np.isfinite(cos)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row][ok]), pa.array(vi[at][ok]), pa.array(cos[ok])], names=["query_id", "id", "cos"])
+                    qv, vv = qv / np.linalg.norm(qv, axis=1)[:, None], vv / np.linalg.norm(vv, axis=1)[:, None]
+                order = np.argsort(vi, kind="stable")
+                vi, vv = vi[order], vv[order]
+                for at in range(0, len(qi), STEP):
+                    c = np.round(qv[at : at + STEP] @ vv.T, 6)
+                    c[~np.isfinite(c)] = -np.inf
+                    top = np.argsort(-c, axis=1, kind="stable")[:, :n]  # ties stay in order of their ids
+                    row, col = np.repeat(np.arange(len(c)), top.shape[1]), top.ravel()
+                    cos = c[row, col]
+                    ok = np.isfinite(cos)
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[at + row][ok]), pa.array(vi[col][ok]), pa.array(cos[ok])], names=["query_id", "id", "cos"])
 
     best = meetings.mapInArrow(run, "query_id bigint, id bigint, cos double")
     return top_per_query(best, "cos", n).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "cos")
@@ -121,19 +163,25 @@ def overlap_scorer(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, scorer: Callable = overlap_scorer, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, n: int = 5, pool: int = 20, window: int = 0, priority: Column | None = None) -> DataFrame:
-    """(query_id, rank, id, source, chunk_index, confidence, passage) of queries
-    (query_id, text) over chunks (chunk_id, source, chunk_index, text): the best
-    `pool` by BM25 and, where vectors are given, by cosine, fused by rank, cut to
-    `pool`, reranked by the scorer, the best n widened by `window` neighbours.
-    Frequencies are of all chunks, whatever is filtered later."""
+def retrieve(chunks: DataFrame, queries: DataFrame, scorer: Callable = overlap_scorer, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, n: int = 5, pool: int = 20, window: int = 0, priority: Column | None = None, allowed: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, id, source, chunk_index, confidence, passage, weak) of
+    queries (query_id, text) over chunks (chunk_id, source, chunk_index, text,
+    doc_source): the best `pool` by BM25 and, where vectors are given, by
+    cosine, fused by rank, cut to `pool`, reranked by the scorer times the
+    priority, the best n widened by `window` neighbours. Frequencies are of all
+    chunks; `allowed` (id) filters after scoring. `weak` marks queries whose
+    best confidence is below WEAK. `more` (query_id, more), where given, are
+    appended to what BM25 is asked."""
     from almagest.operators.documents import with_neighbours
 
     docs = chunks.select(F.col("chunk_id").alias("id"), "text")
-    words = bm25_top(docs, queries, pool).select("query_id", "id", "rank")
-    sense = knn(vectors, query_vectors, pool).select("query_id", "id", "rank") if vectors is not None else words.limit(0)
+    asked = queries if more is None else queries.join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
+    words = bm25_top(docs, asked, pool, allowed).select("query_id", "id", "rank")
+    within = vectors if vectors is None or allowed is None else vectors.join(allowed, "id", "left_semi")
+    sense = knn(within, query_vectors, pool).select("query_id", "id", "rank") if within is not None else words.limit(0)
     fused = rrf(sense, words).withColumn("s", F.round("score", 6) + F.col("in_first").cast("int") * 1e-9)
     few = top_per_query(fused, "s", pool).select("query_id", "id")
     c = few.join(chunks.select(F.col("chunk_id").alias("id"), "source", "chunk_index", "text", "doc_source"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     best = rerank(c, scorer, n, priority).select("query_id", "rank", "id", "source", "chunk_index", "confidence")
-    return best.join(with_neighbours(best, chunks, window), ["source", "chunk_index"]).select("query_id", "rank", "id", "source", "chunk_index", "confidence", "passage")
+    best = best.withColumn("weak", F.max("confidence").over(Window.partitionBy("query_id")) < WEAK)  # n rows a query
+    return best.join(with_neighbours(best, chunks, window), ["source", "chunk_index"]).select("query_id", "rank", "id", "source", "chunk_index", "confidence", "passage", "weak")

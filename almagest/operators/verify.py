@@ -14,19 +14,27 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), 0))
 
 
+def numbers_held(text: Column) -> Column:
+    """The numbers that a text holds: where no digit or point stands before one
+    and no digit after it. Of "3.5" these are 3.5 and 3."""
+    at = lambda g: F.regexp_extract_all(text, F.lit(r"(?<![\d.])(\d+)(?:\.\d+)?"), g)
+    return F.array_union(at(0), at(1))
+
+
 def number_claims(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """(claim_id, source, n_chunks): sources with chunks that hold every number
-    of a claim (claim_id, text). Claims without numbers are left out."""
+    of a claim (claim_id, text). Claims without numbers are left out. Chunks are
+    looked up by the rarest number of a claim and only then checked for the
+    others, for which the numbers of claim and chunk move once per pair."""
     c = claims.select("claim_id", numbers(F.col("text")).alias("ns")).where(F.size("ns") > 0)
-    # a number counts where no digit or point stands before it and no digit after
-    k = chunks.select("source", "chunk_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\d.])\d+(?:\.\d+)?(?!\d)"), 0)).alias("has"))
-    has = k.select("source", "chunk_id", "has", F.explode("has").alias("number"))
-    often = has.groupBy("number").agg(F.count("*").alias("df"))
-    # chunks are looked up by the rarest number of a claim, and checked for the others
-    each = c.select("claim_id", "ns", F.explode("ns").alias("number")).join(often, "number", "left")
-    rare = each.groupBy("claim_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "number")).alias("r"), F.first("ns").alias("ns"))
-    met = rare.select("claim_id", "ns", F.col("r.number").alias("number")).join(has, "number").where(F.size(F.array_intersect("ns", "has")) == F.size("ns"))
-    return met.groupBy("claim_id", "source").agg(F.count("*").alias("n_chunks"))
+    k = chunks.select("source", "chunk_id", numbers_held(F.col("text")).alias("has"))
+    posts = k.select("chunk_id", F.explode("has").alias("number"))
+    often = posts.groupBy("number").agg(F.count("*").alias("df"))
+    each = c.select("claim_id", F.explode("ns").alias("number")).join(often, "number", "left")
+    # a number that no chunk holds settles its claim
+    rare = each.groupBy("claim_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "number")).alias("r")).where("r.df > 0").select("claim_id", F.col("r.number").alias("number"))
+    met = rare.join(posts, "number").select("claim_id", "chunk_id").join(c, "claim_id").join(k, "chunk_id")
+    return met.where(F.size(F.array_except("ns", "has")) == 0).groupBy("claim_id", "source").agg(F.count("*").alias("n_chunks"))
 
 
 def verdicts(claims: DataFrame, support: DataFrame) -> DataFrame:

@@ -92,10 +92,10 @@ def x6_guarded_mentions(spark, d):
 
 
 @query(
-    "f16_rollup_coverage",
+    "a25_rollup_coverage",
     f"with {_CHUNKS}, {_MENTIONS} select term, {_SECTION} as section, sum(mentions)::bigint as total, count(*) as n_papers from m group by rollup (term, section)",
 )
-def f16_rollup_coverage(spark, d):
+def a25_rollup_coverage(spark, d):
     m = coverage.mentions(_content(spark, d), TERMS).withColumn("section", coverage.section_of(F.col("source")))
     return m.rollup("term", "section").agg(F.sum("mentions").alias("total"), F.count("*").alias("n_papers"))
 
@@ -164,22 +164,27 @@ def j4_neighbours(spark, d):
 
 @query(
     "s10_documents",
-    f"""with {_CHUNKS} select source, {_STEM} as stem, {_SECTION} as section, count(*) as n_chunks, max(page_no) as last_page, mode(doc_source) is not null as has_source,
+    f"""with {_CHUNKS} select source, {_STEM} as stem, {_SECTION} as section, count(*) as n_chunks, max(page_no) as last_page, bool_or(doc_source <> '') as has_source,
     (row_number() over (partition by {_SECTION} order by lower({_STEM}), source))::bigint as position from c group by source""",
 )
 def s10_documents(spark, d):
-    g = latest_chunks(spark, d).groupBy("source").agg(F.count("*").alias("n_chunks"), F.max("page_no").alias("last_page"))
-    g = g.withColumns({"stem": coverage.stem_of(F.col("source")), "section": coverage.section_of(F.col("source")), "has_source": F.lit(True)})
+    g = latest_chunks(spark, d).groupBy("source").agg(F.count("*").alias("n_chunks"), F.max("page_no").alias("last_page"), F.bool_or(F.col("doc_source") != "").alias("has_source"))
+    g = g.withColumns({"stem": coverage.stem_of(F.col("source")), "section": coverage.section_of(F.col("source"))})
     return g.withColumn("position", F.row_number().over(Window.partitionBy("section").orderBy(F.lower("stem"), "source")).cast("bigint"))
 
 
-_TOK = r"""tok as (select chunk_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) as token from c),
+_BLANK = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_WORDS = f"list_filter(string_split_regex(lower(%s), '{_BLANK}'), lambda w: w <> '')"
+_TOK = rf"""tok as (select chunk_id, unnest({_WORDS % "text"}) as token from c),
   tf as (select chunk_id, token, count(*) as tf from tok group by all), len as (select chunk_id, count(*) as dl from tok group by chunk_id),
   df as (select token, count(*) as df from tf group by token), st as (select count(*) as n, avg(coalesce(dl, 0)) as avgdl from c left join len using (chunk_id)),
   idf as (select token, ln(n - df + 0.5) - ln(df + 0.5) as idf from df, st), mi as (select avg(idf) as m from idf),
   w as (select token, case when idf < 0 then 0.25 * m else idf end as idf from idf, mi),
-  q as (select chunk_id as query_id, token, count(*) as qtf from (select chunk_id, unnest(list_filter(string_split_regex(lower(heading), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) as token from c where chunk_id % 50 = 0) group by all),
-  sc as (select query_id, tf.chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from q join w using (token) join tf using (token) join len on len.chunk_id = tf.chunk_id, st group by all)"""
+  qs as (select chunk_id as query_id, heading from c where chunk_id % 50 = 0),
+  q as (select query_id, token, count(*) as qtf from (select query_id, unnest({_WORDS % "heading"}) as token from qs) group by all),
+  hit as (select query_id, tf.chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from q join w using (token) join tf using (token) join len on len.chunk_id = tf.chunk_id, st group by all),
+  few as (select chunk_id from c order by chunk_id limit 20),
+  sc as (select query_id, chunk_id, max(score) as score from (select * from hit union all select query_id, chunk_id, 0 from qs, few) group by all)"""
 
 
 @query(
@@ -187,11 +192,26 @@ _TOK = r"""tok as (select chunk_id, unnest(list_filter(string_split_regex(lower(
     f"with {_CHUNKS}, {_TOK} select query_id, chunk_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) as rank from sc) where rank <= 10",
 )
 def r5_bm25(spark, d):
+    """The ten best of all chunks, those of no score after the others by id."""
     c = latest_chunks(spark, d)
     q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("heading").alias("text"))
     return retrieval.bm25_top(c.select(F.col("chunk_id").alias("id"), "text"), q, 10).withColumnRenamed("id", "chunk_id").withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
+@query(
+    "r5_bm25_filtered",
+    f"""with {_CHUNKS}, {_TOK} select query_id, chunk_id, rank, round(score, 6) as score from (select sc.*, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) as rank
+    from (select * from hit union all select query_id, chunk_id, 0 from qs, (select chunk_id from c where zone = 'body' order by chunk_id limit 20) f where (query_id, chunk_id) not in (select query_id, chunk_id from hit)) sc
+    join c using (chunk_id) where zone = 'body') where rank <= 10""",
+)
+def r5_bm25_filtered(spark, d):
+    """r5_bm25 among the chunks of the body: frequencies are of all chunks, the filter applies after scoring."""
+    c = latest_chunks(spark, d)
+    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("heading").alias("text"))
+    top = retrieval.bm25_top(c.select(F.col("chunk_id").alias("id"), "text"), q, 10, allowed=c.where("zone = 'body'").select(F.col("chunk_id").alias("id")))
+    return top.withColumnRenamed("id", "chunk_id").withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
 _KNN = """k as (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as cos from embeddings q join embeddings v on q.vec_id % 50 = 0),
   kr as (select *, row_number() over (partition by query_id order by cos desc, id) as rank from k)"""
 
@@ -204,16 +224,16 @@ def r4_knn(spark, d):
 
 @query(
     "r6_rrf",
-    f"""with {_KNN}, a as (select query_id, id, rank from kr where rank <= 20), lab as (select e.vec_id as query_id, v.vec_id as id, row_number() over (partition by e.vec_id order by abs(e.vec_id - v.vec_id), v.vec_id) as rank
-      from embeddings e join embeddings v on e.vec_id % 50 = 0 and e.label = v.label), b as (select query_id, id, rank from lab where rank <= 20)
+    f"""with {_KNN}, a as (select query_id, id, rank from kr where rank <= 20),
+    k2 as (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(q.embedding[1:16]::double[], v.embedding[1:16]::double[]), 6) as cos from embeddings q join embeddings v on q.vec_id % 50 = 0),
+    b as (select query_id, id, rank from (select *, row_number() over (partition by query_id order by cos desc, id) as rank from k2) where rank <= 20)
     select query_id, id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 6)::double as score from a full join b using (query_id, id)""",
 )
 def r6_rrf(spark, d):
-    e = table(spark, d, "embeddings")
-    v = e.select(F.col("vec_id").alias("id"), "embedding")
-    a = retrieval.knn(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 20)
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    b = retrieval.top_per_query(q.join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id", (-F.abs(F.col("query_id") - F.col("id"))).alias("score")), "score", 20)
+    """The ranking by whole vectors fused with that by their first sixteen places."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    part = v.withColumn("embedding", F.slice("embedding", 1, 16))
+    a, b = (retrieval.knn(x, x.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 20) for x in (v, part))
     return retrieval.rrf(a, b).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -224,34 +244,35 @@ def a16_acronyms(spark, d):
     return acronyms.mine_all(latest_chunks(spark, d))
 
 
+_NUMBERS = r"""q as (select chunk_id as claim_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'))) as number from c where chunk_id % 50 = 0),
+    k as (select claim_id, count(*) as need from q group by 1),
+    f as (select source, chunk_id, unnest(regexp_extract_all(text, '(?:^|[^0-9.])([0-9]+(?:\.[0-9]+)?)', 1)) as number from c),
+    h as (select source, chunk_id, number from f union select source, chunk_id, regexp_extract(number, '^[0-9]+') from f)"""
+
+
 @query(
     "x8_number_support",
-    f"""with {_CHUNKS}, q as (select chunk_id as claim_id, unnest(list_distinct(regexp_extract_all(left(text, 200), '\\d+(?:\\.\\d+)?'))) as number from c where chunk_id % 50 = 0),
-    k as (select claim_id, count(*) as need from q group by 1),
-    h as (select source, chunk_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\d+(?:\\.\\d+)*\\.?\\d*'), lambda x: x), lambda x: regexp_full_match(x, '\\d+(?:\\.\\d+)?')))) as number from c)
-    select claim_id, source, count(*) as n_chunks from (select claim_id, source, chunk_id, need from q join k using (claim_id) join h using (number) group by all having count(*) = any_value(need)) group by all""",
+    f"with {_CHUNKS}, {_NUMBERS} select claim_id, source, count(*) as n_chunks from (select claim_id, source, chunk_id, need from q join k using (claim_id) join h using (number) group by all having count(*) = any_value(need)) group by all",
 )
 def x8_number_support(spark, d):
     from almagest.operators import verify
 
     c = latest_chunks(spark, d)
-    return verify.number_claims(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), F.substring("text", 1, 200).alias("text")), c)
-
+    return verify.number_claims(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), "text"), c)
 
-@query("x8_whole_claims")
-def x8_whole_claims(spark, d):
-    """x8_number_support with every number of the claims' texts required."""
-    from almagest.operators import verify
 
-    c = latest_chunks(spark, d)
-    return verify.number_claims(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("claim_id"), "text"), c)
+#: Collections whose passages must match better than others to be ranked before them.
+PRIORITY = {"white_papers": 0.85}
 
 
 @query("r1_retrieve")
 def r1_retrieve(spark, d):
+    """Both legs over all chunks: words by BM25, meaning by hashed vectors."""
     c = latest_chunks(spark, d)
     q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.concat_ws(" ", "heading", "text").alias("text"))
-    return retrieval.retrieve(c, q, window=1)
+    vectors = retrieval.hashed_vectors(c.select(F.col("chunk_id").alias("id"), "text"), "id", "text")
+    asked = retrieval.hashed_vectors(q, "query_id", "text")
+    return retrieval.retrieve(c, q, vectors=vectors, query_vectors=asked, window=1, priority=retrieval.priority_of(F.col("doc_source"), PRIORITY))
 
 
 @query("x25_text_hash", f"with {_CHUNKS} select chunk_id, sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as hash from c")
