@@ -6,7 +6,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -128,3 +128,42 @@ def mentions_in_chunks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     c = chunks.select(F.col("source").alias("source_path"), "chunk_index", "text")
     m = mentions.where("context is not null").select("name_key", "source_path", "chunk_index", "context").distinct()
     return m.join(c, ["source_path", "chunk_index"]).select("name_key", "source_path", "chunk_index", F.contains(squash(F.col("text")), squash(F.col("context"))).alias("verbatim"))
+
+
+def request_positions(requests: DataFrame, fields: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, origin, ra): where a request looks, by its own position, else by
+    that of its field (by name, letters and digits apart), else by that of its
+    source; null where none has one."""
+    key = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    named = fields.where("name is not null").groupBy(key("name").alias("k")).agg(F.min("field_key").alias("field_key"))
+    at = named.join(field_positions(fields), "field_key").select("k", F.col("ra_deg").alias("fra"))
+    s = sources.where("ra_deg is not null and dec_deg is not null").select(F.col("id").alias("source_id"), F.col("ra_deg").alias("sra"))
+    r = requests.select("id", "ra_deg", "dec_deg", "source_id", key("field").alias("k")).join(at, "k", "left").join(s, "source_id", "left")
+    own = F.col("ra_deg").isNotNull() & F.col("dec_deg").isNotNull()
+    pick = lambda a, b, c: F.when(own, a).when(F.col("fra").isNotNull(), b).when(F.col("sra").isNotNull(), c)
+    return r.select("id", pick(F.lit("own"), F.lit("field"), F.lit("source")).alias("origin"), pick(F.col("ra_deg"), F.col("fra"), F.col("sra")).alias("ra"))
+
+
+def display_name(main_id: Column) -> Column:
+    """An identifier without NAME before it, its blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(main_id, "^NAME ", ""), r"\s+", " "))
+
+
+def designations(chunks: DataFrame, prefixes: list[str]) -> DataFrame:
+    """(name_key, n, n_sources) of the numbered designations of the given
+    catalogues in texts; a chunk's are counted before they are shuffled."""
+    raw = F.regexp_extract_all("text", F.lit(r"\b(?:" + "|".join(prefixes) + r")[ \t]?[0-9]+\b"), 0)
+    per = chunks.select("source", F.explode(raw).alias("raw")).groupBy(F.upper(F.regexp_replace("raw", r"\s+", "")).alias("name_key"), "source").agg(F.count("*").alias("k"))
+    return per.groupBy("name_key").agg(F.sum("k").alias("n"), F.count("*").alias("n_sources"))
+
+
+def interval_union(intervals: DataFrame, key: str) -> DataFrame:
+    """(key, lo, hi): the union of whole-numbered intervals (key, lo, hi) as
+    intervals that do not touch. Distinct intervals are few, whatever the rows:
+    they are pre-aggregated to the furthest end of each start."""
+    per = intervals.groupBy(key, "lo").agg(F.max("hi").alias("hi"))
+    w = Window.partitionBy(key).orderBy("lo")  # as many rows as there are starts
+    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | (F.col("lo") > F.col("reach"))).cast("int"))
+    island = starts.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(key, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")

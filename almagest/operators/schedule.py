@@ -14,7 +14,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagest.session import spread_of
@@ -260,3 +260,24 @@ def visibility(spark, targets: list[tuple[str, float, float]], telescope: str, y
         lat = SITES[telescope][0]
         rows += [(name, 90 - abs(dec - lat), float(max(0.0, 2 * half_arc(np.array([dec]), lat, elevation)[0])), m + 1, float(c[m].sum())) for m in range(12)]
     return spark.createDataFrame(rows, "name string, max_elevation double, hours_per_day double, month int, hours double")
+
+
+def by_group(d: DataFrame) -> DataFrame:
+    """(telescope, grp, lst_bin, demand_h): the hours that each commensal group,
+    or lone request, asks of a sidereal hour; of a group each cell counts its
+    largest member only, so the groups add up to pressure()."""
+    per = d.where("month is not null").groupBy("telescope", "grp", "month", "lst_bin").agg(F.max("hours").alias("h"))
+    return per.groupBy("telescope", "grp", "lst_bin").agg(F.round(F.sum("h"), 3).alias("demand_h"))
+
+
+def most_pressed(p: DataFrame, n: int) -> DataFrame:
+    """(telescope, rank, lst, pressure): the n sidereal hours under most
+    pressure, as hours and minutes of their middle; ties to the earlier."""
+    w = Window.partitionBy("telescope").orderBy(F.col("pressure").desc(), "lst_bin")  # 24 rows
+    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("telescope", "rank", format_lst(F.col("lst_bin") + 0.5).alias("lst"), "pressure")
+
+
+def format_lst(hours: Column) -> Column:
+    """Hours of the sidereal day as "05h30m"."""
+    minutes = F.pmod(F.round(hours * 60).cast("int"), F.lit(1440))
+    return F.format_string("%02dh%02dm", F.floor(minutes / 60).cast("int"), F.pmod(minutes, F.lit(60)))

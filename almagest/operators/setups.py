@@ -3,7 +3,7 @@ against computed values under a sweep of parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OK, BELOW, ABOVE, NOT_ALLOWED, OFF_STEP, MISSING, NOT_NUMBER = "ok", "below", "above", "not_allowed", "off_step", "missing", "not_a_number"
@@ -70,3 +70,31 @@ def scaled_sensitivity(value: Column, width: Column, claimed_width: Column) -> C
 def kelvin_to_jansky(kelvin: Column, freq_ghz: Column, major_arcsec: Column, minor_arcsec: Column) -> Column:
     """Brightness temperature in a Gaussian beam as flux density per beam."""
     return kelvin * freq_ghz * freq_ghz * major_arcsec * minor_arcsec / 1.222e6
+
+
+def closest_of(claims: DataFrame, variants: list[tuple[str, float]]) -> DataFrame:
+    """closest_variant() of claims that all compare with the same few computed
+    values: these are columns, so claims neither move nor multiply."""
+    pct = lambda v: (F.lit(v) - F.col("claimed")) / F.col("claimed") * 100
+    each = [F.struct(F.abs(pct(v)).alias("a"), F.lit(n).alias("variant"), F.lit(v).alias("computed"), pct(v).alias("pct")) for n, v in variants]
+    b = claims.where("claimed <> 0").withColumn("b", F.array_min(F.array(*each)))
+    return b.select("claim_id", F.col("b.variant").alias("variant"), "claimed", F.col("b.computed").alias("computed"), F.round("b.pct", 3).alias("pct_diff"), (F.col("b.a") <= 10).alias("within_10pct"))
+
+
+def sweep(spark: SparkSession, lists: dict[str, list[float]]) -> DataFrame:
+    """The product of lists of parameters, a column each. The lists are given
+    by the caller; the product is made by the executors."""
+    df = spark.range(1)
+    for name, values in lists.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    return df.drop("id")
+
+
+def interpolated(x: Column, points: list[tuple[float, float]]) -> Column:
+    """A value between the points of a table, at its ends outside of it."""
+    at = F.greatest(F.lit(points[0][0]), F.least(F.lit(points[-1][0]), x))
+    out = None
+    for (a, u), (b, v) in zip(points, points[1:]):
+        part = F.lit(u) + (at - a) * ((v - u) / (b - a))
+        out = F.when(at <= b, part) if out is None else out.when(at <= b, part)
+    return out

@@ -176,3 +176,17 @@ def cone(points: DataFrame, ra: float, dec: float, radius_arcsec: float) -> Data
     r = radius_arcsec / 3600.0
     sep = separation_arcsec(F.lit(float(ra)), F.lit(float(dec)), F.col("ra"), F.col("dec"))
     return points.where(F.col("dec").between(dec - r - 1e-9, dec + r + 1e-9)).withColumn("sep_arcsec", sep).where(F.col("sep_arcsec") <= radius_arcsec)
+
+
+def separation_deg(ra_a: Column, dec_a: Column, ra_b: Column, dec_b: Column) -> Column:
+    """Degrees between two places on the sphere."""
+    h = F.pow(F.sin(F.radians(dec_a - dec_b) / 2), 2) + F.cos(F.radians(dec_a)) * F.cos(F.radians(dec_b)) * F.pow(F.sin(F.radians(ra_a - ra_b) / 2), 2)
+    return F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
+
+
+def coordinates_in_name(name: Column) -> tuple[Column, Column]:
+    """(right ascension, declination) in degrees of a name that ends in
+    "JHHMMSS.s+DDMMSS"; null for other names."""
+    at = lambda k: F.nullif(F.regexp_extract(name, r"J([0-9]{2})([0-9]{2})([0-9]{2}(?:\.[0-9]+)?)([+-])([0-9]{2})([0-9]{2})([0-9]{2}(?:\.[0-9]+)?)$", k), F.lit(""))
+    sexagesimal = lambda k: at(k).cast("double") + at(k + 1).cast("double") / 60 + at(k + 2).cast("double") / 3600
+    return 15 * sexagesimal(1), F.when(at(4) == "-", -1.0).otherwise(1.0) * sexagesimal(5)
