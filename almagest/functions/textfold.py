@@ -101,7 +101,10 @@ _LIKE_BLOCKS = r"[\x{391}-\x{3bb}\x{3bd}-\x{3f3}\x{405}-\x{52f}]"
 
 @functools.cache
 def _patterns() -> dict[str, str]:
-    return {"suspect": _class([*variant_letters(), *spaces(), *invisibles(), *LIGATURES], coarse=True), "like": _LIKE_BLOCKS}
+    control = _class([c for c in invisibles() if ord(c) < 128])
+    # ASCII is ruled out first, as it is most of any text; control characters have a pattern of their own
+    wide = _class([*variant_letters(), *spaces(), *(c for c in invisibles() if ord(c) >= 128), *LIGATURES], coarse=True)
+    return {"control": control, "suspect": rf"[\x{{80}}-\x{{10ffff}}&&{wide}]", "like": rf"[\x{{80}}-\x{{10ffff}}&&{_LIKE_BLOCKS}]"}
 
 
 def beyond_plain() -> str:
@@ -115,7 +118,7 @@ def may_differ(c: Column) -> Column:
     """Whether a text holds any character that some step of the fold looks at:
     one scan of the text. Texts without one are their own consistent form."""
     p = _patterns()
-    return c.rlike("[" + p["suspect"] + p["like"] + beyond_plain() + "]")
+    return c.rlike(p["control"]) | (~is_ascii(c) & (c.rlike(p["suspect"]) | c.rlike(p["like"]) | c.rlike(beyond_plain())))
 
 
 def _map_literal(d: dict[str, str]) -> Column:
@@ -159,7 +162,9 @@ def _steps(c: Column) -> list:
         one = x
         for lig, letters in LIGATURES.items():
             one = F.replace(one, F.lit(lig), F.lit(letters))
-        return F.when(x.rlike(p["suspect"]), F.translate(one, frm, to)).otherwise(x)
+        # texts of ASCII are only searched for control characters
+        suspect = x.rlike(p["control"]) | (~is_ascii(x) & x.rlike(p["suspect"]))
+        return F.when(suspect, F.translate(one, frm, to)).otherwise(x)
 
     def words(x: Column) -> Column:
         return F.when(~is_ascii(x) & x.rlike(p["like"]), _by_word(x)).otherwise(x)
