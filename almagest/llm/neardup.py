@@ -83,11 +83,13 @@ class Shingler:
         return np.unique(out ^ (out >> np.uint64(29))), n
 
     def minima(self, hashes: np.ndarray) -> np.ndarray:
+        """The least value of the hashes under each of the linear functions;
+        the hashes are mixed already, so these need no more mixing."""
         best = np.full(len(self.mul), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for i in range(0, len(hashes), 4096):
-            x = hashes[i : i + 4096, None] * self.mul[None, :] + self.add[None, :]
-            x = (x ^ (x >> np.uint64(31))) * _P
-            best = np.minimum(best, (x ^ (x >> np.uint64(30))).min(0))
+        for i in range(0, len(hashes), 512):
+            x = np.multiply.outer(self.mul, hashes[i : i + 512])
+            x += self.add[:, None]
+            np.minimum(best, x.min(1), out=best)
         return best
 
 
