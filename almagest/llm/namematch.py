@@ -115,14 +115,9 @@ def set_join(queries: DataFrame, refs: DataFrame, threshold: float) -> DataFrame
     return c.where(F.col("jaccard") >= threshold).select("q", "r", "jaccard")
 
 
-def matches(names: DataFrame, sources: DataFrame, aliases: DataFrame, threshold: float = THRESHOLD, edits: int = EDITS) -> DataFrame:
-    """(name_key, entry_id, main_id, similarity, status): each name_key once, with the
-    entry that it denotes (status matched), or nulls (unmatched). Of several
-    entries the most similar is kept, then one of the kind that the name says,
-    then the one of fewest edits, then the smallest id. A null raw_name, or one
-    without letters, is unmatched."""
-    n = names.select("name_key", "raw_name").groupBy("name_key").agg(F.min("raw_name").alias("raw_name"))
-    n = cut(parsed(n, "raw_name").drop("raw_name"))
+def best_entries(n: DataFrame, sources: DataFrame, aliases: DataFrame, threshold: float = THRESHOLD, edits: int = EDITS) -> DataFrame:
+    """(name_key, entry_id, similarity) of the parsed names n (name_key, label,
+    number, kind) that denote an entry."""
     e = entries(sources, aliases)
     wanted = n.where("number <> ''").select("number").distinct()
     e = e.where("number <> ''").join(wanted, "number", "left_semi").unionByName(e.where("number = ''").select("number", "entry_id", "label", "kind"))
@@ -139,12 +134,22 @@ def matches(names: DataFrame, sources: DataFrame, aliases: DataFrame, threshold:
     hit = hit.join(e.select("entry_id", F.col("label").alias("rl"), "number", "kind"), ["rl", "number"])
     other_kind = F.coalesce(F.col("said") != F.col("kind"), F.lit(False)).cast("int")
     best = hit.groupBy("name_key").agg(F.min(F.struct(-F.col("jaccard"), other_kind, "edits", "entry_id")).alias("best"))
-    out = best.select("name_key", F.col("best.entry_id").alias("entry_id"), (-F.col("best.col1")).alias("similarity"))
-    out = n.select("name_key").join(out, "name_key", "left").join(sources.select(F.col("id").alias("entry_id"), "main_id"), "entry_id", "left")
+    return best.select("name_key", F.col("best.entry_id").alias("entry_id"), (-F.col("best.col1")).alias("similarity"))
+
+
+def matches(names: DataFrame, sources: DataFrame, aliases: DataFrame, threshold: float = THRESHOLD, edits: int = EDITS) -> DataFrame:
+    """(name_key, entry_id, main_id, similarity, status): each name_key once, with the
+    entry that it denotes (status matched), or nulls (unmatched). Of several
+    entries the most similar is kept, then one of the kind that the name says,
+    then the one of fewest edits, then the smallest id. A null raw_name, or one
+    without letters, is unmatched."""
+    n = names.select("name_key", "raw_name").groupBy("name_key").agg(F.min("raw_name").alias("raw_name"))
+    n = cut(parsed(n, "raw_name").drop("raw_name"))
+    out = n.select("name_key").join(best_entries(n, sources, aliases, threshold, edits), "name_key", "left").join(sources.select(F.col("id").alias("entry_id"), "main_id"), "entry_id", "left")
     return out.select("name_key", "entry_id", "main_id", "similarity", F.when(F.col("entry_id").isNull(), "unmatched").otherwise("matched").alias("status"))
 
 
 def found(names: DataFrame, sources: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name_key, source_id) of the names without a source that denote an entry."""
-    open_ = names.groupBy("name_key").agg(F.max("source_id").alias("has"), F.min("raw_name").alias("raw_name")).where("has is null")
-    return matches(open_.select("name_key", "raw_name"), sources, aliases).where("entry_id is not null").select("name_key", F.col("entry_id").alias("source_id"))
+    open_ = names.groupBy("name_key").agg(F.max("source_id").alias("has"), F.min("raw_name").alias("raw_name")).where("has is null").drop("has")
+    return best_entries(cut(parsed(open_, "raw_name").drop("raw_name")), sources, aliases).select("name_key", F.col("entry_id").alias("source_id"))
