@@ -283,3 +283,22 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",),
 
     schema = T.StructType([*cols.drop("__text").schema.fields, T.StructField(out, T.LongType())])
     return over_all_cores(cols).mapInArrow(run, schema)
+
+
+def decoded_lengths(docs: DataFrame, text: str = "text", vocabulary=None) -> DataFrame:
+    """(doc_id, n_bytes): how many bytes the ids of each text stand for; for a
+    lossless encoding those of the text, 0 for null."""
+    shared = vocabulary or share_vocabulary(docs.sparkSession)
+
+    def run(batches):
+        v = shared.value
+        size = np.zeros(max(v.ranks.values()) + 1, dtype=np.int64)
+        for token, i in v.ranks.items():
+            size[i] = len(token)
+        for b in batches:
+            ids = b.column(1)
+            ends = np.concatenate([[0], np.cumsum(size[ids.flatten().to_numpy(zero_copy_only=False)])])
+            at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends[at]))], names=["doc_id", "n_bytes"])
+
+    return encode(docs, text, vocabulary=shared).select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_bytes bigint")

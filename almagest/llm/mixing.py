@@ -167,3 +167,11 @@ def shares(documents: DataFrame, targets: DataFrame, vocabulary=None) -> DataFra
 def found(documents: DataFrame, targets: DataFrame, vocabulary=None) -> DataFrame:
     """(source) of each target that its repetitions cannot fill."""
     return plan(token_sizes(documents, vocabulary), targets).where("not reachable").select("source")
+
+
+def kept(shares_df: DataFrame) -> DataFrame:
+    """(source, weight, max_repeats, within_limit, near_budget): whether no
+    document of a source occurs too often and its tokens are as many as its
+    budget, but for one document or a thousandth."""
+    near = F.abs(F.col("actual_tokens") - F.col("budget_tokens")) <= F.greatest(F.lit(20000.0), F.col("budget_tokens") / 1000)
+    return shares_df.select("source", "weight", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_limit"), near.alias("near_budget"))

@@ -24,6 +24,12 @@ def p7_counts(spark, d):
     return bpe.count_tokens(table(spark, d, "documents"))
 
 
+@_query
+def p7_lengths(spark, d):
+    """How many bytes the tokens of each document stand for: those of its text."""
+    return bpe.decoded_lengths(table(spark, d, "documents"))
+
+
 @_query
 def p8_found(spark, d):
     return mixing.found(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -66,6 +72,12 @@ def p1_pieces(spark, d):
     return segment.split(table(spark, d, "terms"), table(spark, d, "chunk_limits"))
 
 
+@_query
+def p1_cover(spark, d):
+    """Whether the pieces of each chunk cover it, in order, within the limit and with the overlap."""
+    return segment.cover(segment.split(table(spark, d, "terms"), table(spark, d, "chunk_limits")))
+
+
 @_query
 def p1_cuts(spark, d):
     return segment.cut_report(table(spark, d, "terms"), table(spark, d, "chunk_limits"))
@@ -101,6 +113,12 @@ def p5_matches(spark, d):
     return namematch.matches(*[table(spark, d, n) for n in ("names", "sources", "catalog_aliases")])
 
 
+@_query
+def p8_weights(spark, d):
+    """The mixture's sources with what must hold of their shares."""
+    return mixing.kept(mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 @_query
 def p9_found(spark, d):
     return toxicity.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
@@ -115,3 +133,10 @@ def p9_scores(spark, d):
 @_query
 def p9_rates(spark, d):
     return toxicity.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+@_query
+def p9_rate_totals(spark, d):
+    """Every document counts for its source's rate once."""
+    r = toxicity.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+    return r.selectExpr("source", "n_docs", "n_flagged between 0 and n_docs and abs(rate * n_docs - n_flagged) < 1e-6 as counts_agree")

@@ -206,3 +206,13 @@ def cut_report(terms: DataFrame, limits: DataFrame) -> DataFrame:
     cut, and how many of these lie in a valley of the similarity curve."""
     p = split(terms, limits).where("piece < n_pieces - 1")
     return p.groupBy(F.coalesce("cut_kind", F.lit("none")).alias("cut_kind")).agg(F.count("*").alias("n_cuts"), F.count_if(F.col("valley") > 0.1).alias("n_valleys"), F.avg("valley").alias("mean_valley"))
+
+
+def cover(split_rows: DataFrame) -> DataFrame:
+    """(chunk_id, n_chars, fits): of each chunk of split() how many characters
+    its pieces hold, overlaps counted once, and whether all keep the limit. Each
+    piece tells its own share, so nothing is put in order."""
+    first = F.col("piece") == 0
+    own = F.col("end") - F.col("start") - F.when(first, 0).otherwise(F.least(F.col("overlap_chars"), F.col("max_chars") - 1, F.floor(F.col("max_chars") / 2).cast("int")))
+    p = split_rows.select("chunk_id", own.alias("own"), ((F.length("text") == F.col("end") - F.col("start")) & ((F.col("end") - F.col("start") <= F.col("max_chars")))).alias("ok"))
+    return p.groupBy("chunk_id").agg(F.sum("own").cast("bigint").alias("n_chars"), F.bool_and("ok").alias("fits"))

