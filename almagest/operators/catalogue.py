@@ -98,8 +98,9 @@ def agreement(requests: DataFrame) -> DataFrame:
 
 
 def list_fields(fields: DataFrame) -> DataFrame:
-    """(field_key, name, n_papers, area_deg2, descriptions) of survey fields."""
-    return fields.groupBy("field_key").agg(F.min("name").alias("name"), F.count("*").alias("n_papers"), F.max("area_deg2").alias("area_deg2"), F.array_join(F.array_sort(F.collect_list("description")), " | ").alias("descriptions"))
+    """(field_key, name, n_papers, area_deg2, n_descriptions, description) of
+    survey fields: how many descriptions a field has, and the first in order."""
+    return fields.groupBy("field_key").agg(F.min("name").alias("name"), F.count("*").alias("n_papers"), F.max("area_deg2").alias("area_deg2"), F.count_distinct("description").alias("n_descriptions"), F.min("description").alias("description"))
 
 
 def geometry_kind(df: DataFrame) -> Column:

@@ -54,8 +54,8 @@ def a2_mention_counts(spark, d):
 
 @query(
     "a25_coverage_by_section",
-    f"""with {_CHUNKS}, {_MENTIONS} select term, case when {_SECTION} = '' then '(unknown)' else {_SECTION} end as section, count(*) as n_papers,
-    string_agg({_STEM}, ',' order by {_STEM}) as papers from m group by all""",
+    f"""with {_CHUNKS}, {_MENTIONS}, p as (select *, case when {_SECTION} = '' then '(unknown)' else {_SECTION} end as section, {_STEM} as paper from m)
+    select term, section, row_number() over (partition by term, section order by paper, source) as place, paper from p""",
 )
 def a25_coverage_by_section(spark, d):
     return coverage.coverage_by_section(coverage.mentions(_content(spark, d), TERMS))
@@ -113,8 +113,9 @@ def a6_index_health(spark, d):
 @query(
     "c1_fingerprint",
     f"""with {_CHUNKS}, l as (select source, concat_ws(chr(9), source, chunk_index::varchar, sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))) as line from c),
-    p as (select source, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as digest from l group by source)
-    select count(*) as n_docs, sum(n)::bigint as n_chunks, sha256(string_agg(concat_ws(chr(9), source, digest), chr(10) order by concat_ws(chr(9), source, digest))) as fingerprint from p""",
+    p as (select source, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as digest from l group by source),
+    b as (select left(sha1(source), 3) as part, count(*) as k, sum(n) as n, sha256(string_agg(concat_ws(chr(9), source, digest), chr(10) order by concat_ws(chr(9), source, digest))) as digest from p group by 1)
+    select sum(k)::bigint as n_docs, sum(n)::bigint as n_chunks, sha256(string_agg(concat_ws(chr(9), part, digest), chr(10) order by part)) as fingerprint from b""",
 )
 def c1_fingerprint(spark, d):
     return documents.fingerprint(latest_chunks(spark, d))

@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almagest.operators import catalogue, citations
+from almagest.operators.quantiles import quantiles
+from almagest.plans.corpus import _BLANK, _CHUNKS
 from almagest.plans.registry import query
 from almagest.sources.tables import latest_chunks, table
 
@@ -81,7 +83,7 @@ def j9_agreement(spark, d):
     return catalogue.agreement(table(spark, d, "requests"))
 
 
-@query("a13_fields", "select field_key, min(name) as name, count(*) as n_papers, max(area_deg2) as area_deg2, coalesce(string_agg(description, ' | ' order by description), '') as descriptions from fields group by field_key")
+@query("a13_fields", "select field_key, min(name) as name, count(*) as n_papers, max(area_deg2) as area_deg2, count(distinct description) as n_descriptions, min(description) as description from fields group by field_key")
 def a13_fields(spark, d):
     return catalogue.list_fields(table(spark, d, "fields"))
 
@@ -104,7 +106,14 @@ def h10_geometry(spark, d):
     return r.select("id", catalogue.geometry_kind(r).alias("geometry"))
 
 
-@query("x23_verbatim_contexts")
+_SQUASHED = f"lower(regexp_replace(%s, '{_BLANK}', '', 'g'))"
+
+
+@query(
+    "x23_verbatim_contexts",
+    f"""with {_CHUNKS}, m as (select distinct name_key, source_path, chunk_index, context from mentions where context is not null)
+    select name_key, source_path, m.chunk_index, contains({_SQUASHED % "text"}, {_SQUASHED % "context"}) as verbatim from m join c on c.source = source_path and c.chunk_index = m.chunk_index""",
+)
 def x23_verbatim_contexts(spark, d):
     return catalogue.mentions_in_chunks(table(spark, d, "mentions"), latest_chunks(spark, d))
 
@@ -123,6 +132,11 @@ def a7_top_cited(spark, d):
     return citations.top_cited(_refs(spark, d), 2, None, 50)
 
 
+@query("a8_citing_papers")
+def a8_citing_papers(spark, d):
+    return citations.citing_papers(_refs(spark, d), "et al", 20)
+
+
 @query("a9_citation_stats")
 def a9_citation_stats(spark, d):
     return citations.citation_stats(_refs(spark, d))
@@ -217,5 +231,5 @@ def rel_set_operations(spark, d):
 
 @query("rel_percentiles", "select l_shipmode, lo, med, hi from (select l_returnflag as l_shipmode, quantile_cont(l_extendedprice, 0.1) as lo, quantile_cont(l_extendedprice, 0.5) as med, quantile_cont(l_extendedprice, 0.9) as hi from lineitem group by 1)")
 def rel_percentiles(spark, d):
-    p = lambda q, n: F.percentile("l_extendedprice", F.lit(q)).alias(n)
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("l_shipmode")).agg(p(0.1, "lo"), p(0.5, "med"), p(0.9, "hi"))
+    t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("l_shipmode"), "l_extendedprice")
+    return quantiles(t, "l_shipmode", "l_extendedprice", {"lo": 0.1, "med": 0.5, "hi": 0.9}, 1000.0)
