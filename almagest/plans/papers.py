@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almagest.operators import coverage, documents, papers, verify
-from almagest.plans.corpus import _CHUNKS, _NUMBERS, _SECTION, _STEM
+from almagest.plans.corpus import _BLANK, _CHUNKS, _NUMBERS, _SECTION, _STEM
 from almagest.plans.registry import query
 from almagest.sources.tables import latest_chunks, table
 
@@ -21,6 +21,10 @@ _BIB = f"""bib as (select concat_ws('/', {_BOOK % "source_path"}, {_STEM.replace
 _PER = f"""pr as (select term, source, sum(n)::bigint as mentions from ({" union all ".join(f"select '{f}' as term, source, len(regexp_extract_all(text, $$\\b{f}s?\\b$$)) as n from c where zone in ('abstract', 'body') and doc_status = 'canonical'" for f in FACILITIES)}) group by all having sum(n) > 0)"""
 
 
+def _wide(pattern: str) -> str:
+    return pattern.replace(r"\s+", _BLANK).replace(r"\d", r"\p{Nd}")  # blanks and digits beyond ASCII, too
+
+
 def _titles_sql() -> str:
     return "t as (select source, arg_min(heading, (chunk_index, chunk_id)) as title from c group by source)"
 
@@ -109,7 +113,7 @@ def a5_facility_network(spark, d):
 
 @query(
     "x5_guarded_facilities",
-    f"""with {_CHUNKS} select * from ({" union all ".join(f"select '{t}' as term, source, sum(len(regexp_extract_all(text, $$\\b{t}s?\\b$$)) - len(regexp_extract_all(text, $$(?i){g[0]}$$)))::bigint as mentions from c where zone in ('abstract', 'body') and doc_status = 'canonical' group by source" for t, g in CURATED.items())}) where mentions > 0""",
+    f"""with {_CHUNKS} select * from ({" union all ".join(f"select '{t}' as term, source, sum(len(regexp_extract_all(text, $$\\b{t}s?\\b$$)) - len(regexp_extract_all(text, $$(?i){_wide(g[0])}$$)))::bigint as mentions from c where zone in ('abstract', 'body') and doc_status = 'canonical' group by source" for t, g in CURATED.items())}) where mentions > 0""",
 )
 def x5_guarded_facilities(spark, d):
     """Mentions outside the curated guards; a match of these guards holds one mention each."""
