@@ -33,26 +33,24 @@ from almagest.session import cut
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MEMO = 300_000
-#: Minima to a coordinate.
-SET = 3
 
 
 class Shingler:
     """Hashes of the distinct runs of `k` words of a text, and their MinHash."""
 
-    def __init__(self, k: int, minima: int, coordinates: int = 1):
+    def __init__(self, k: int, minima: int, coordinates: int = 1, size: int = 3):
         self.k, self.words = k, {}
         rng = np.random.default_rng(20240229)
         self.mul = rng.integers(1, 2**63, minima, dtype=np.uint64) | np.uint64(1)
         self.add = rng.integers(0, 2**63, minima, dtype=np.uint64)
         # each round of sets shares no minimum, so that coordinates fail as independently as they can
-        rounds = -(-coordinates // (minima // SET))
-        self.sets = np.concatenate([rng.permutation(minima)[: minima // SET * SET].reshape(-1, SET) for _ in range(rounds)])[:coordinates]
+        rounds = -(-coordinates // (minima // size))
+        self.sets = np.concatenate([rng.permutation(minima)[: minima // size * size].reshape(-1, size) for _ in range(rounds)])[:coordinates]
 
     def coordinates(self, minima: np.ndarray) -> np.ndarray:
         """A value for each set of minima, the number of the set mixed in."""
         m, out = minima[self.sets], np.arange(len(self.sets), dtype=np.uint64) * _P
-        for j in range(SET):
+        for j in range(m.shape[1]):
             out = (out ^ (out >> np.uint64(29))) * _P + m[:, j]
         out = (out ^ (out >> np.uint64(32))) * _P
         return out ^ (out >> np.uint64(29))
@@ -93,14 +91,14 @@ class Shingler:
         return best
 
 
-def signatures(df: DataFrame, key: str, text: str, shingle: int, minima: int, coordinates: int, min_words: int) -> DataFrame:
+def signatures(df: DataFrame, key: str, text: str, shingle: int, minima: int, coordinates: int, min_words: int, size: int = 3) -> DataFrame:
     """(key, hashes, minima, coords) of the texts of at least `min_words`
     words: the sorted distinct shingles, by which equal texts are told, the
     packed minima, and the coordinates of the signature."""
     cols = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
-        s = Shingler(shingle, minima, coordinates)
+        s = Shingler(shingle, minima, coordinates, size)
         for b in batches:
             keys, parts = [], ([], [], [])
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
