@@ -74,11 +74,12 @@ def hashed_vectors(df: DataFrame, key: str, text: str, places: int = PLACES) ->
     """(key, embedding): the words of a text hashed to signed places, of length
     1; a stand-in for an encoder. A text without words gives null."""
     w = df.select(key, F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("w")).withColumn("h", F.xxhash64("w"))
-    w = w.withColumn("at", F.pmod("h", F.lit(places)).cast("int")).withColumn("sign", F.when(F.col("h").bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0))
-    sums = w.groupBy(key).agg(*[F.sum(F.when((F.col("at") == k) & F.col("w").isNotNull(), F.col("sign")).otherwise(0.0)).alias(f"v{k}") for k in range(places)])
-    vector = F.array(*[F.col(f"v{k}") for k in range(places)])
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return sums.select(key, F.when(norm > 0, F.transform(vector, lambda x: x / norm)).alias("embedding"))
+    sign = F.when(F.col("w").isNull(), 0.0).when(F.col("h").bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0)
+    per = w.groupBy(key, F.pmod("h", F.lit(places)).cast("int").alias("at")).agg(F.sum(sign).alias("s"))
+    # at most `places` entries a key
+    sums = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("norm"))
+    return sums.select(key, F.when(F.col("norm") > 0, vector).alias("embedding"))
 
 
 def similarity_score(distance: Column) -> Column:

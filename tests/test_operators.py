@@ -80,7 +80,7 @@ REFS = {
     "Condon, J. J., et al. 1998, AJ, 115, 1693": "bib:1998AJ....115.1693C",
     "J. J. Condon et al. AJ , 115(5):1693-1716, May 1998. doi: 10.1086/ 300337.": "bib:1998AJ....115.1693C",
     "Someone, A. et al. arXiv:1405.1452, 2014. doi: 10.48550/arXiv. 1405.1452.": "arxiv:1405.1452",
-    "Author, B. 2015, PoS(AASKA14)032": "aaska14:32",
+    "Author, B. 2015, PoS(BOOK14)032": "book14:32",
 }
 
 
