@@ -150,3 +150,41 @@ def facility_network(per_paper: DataFrame, names: list[str]) -> DataFrame:
     a, b = (per_paper.select("source", F.col("term").alias(x), F.col("mentions").alias(f"m{x}")) for x in "ab")
     edges = a.join(b, "source").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_papers"), F.sum(F.least("ma", "mb")).alias("mentions"))
     return nodes.select(F.lit("node").alias("kind"), F.col("term").alias("a"), F.lit(None).cast("string").alias("b"), "n_papers", "mentions").unionByName(edges.select(F.lit("edge").alias("kind"), "a", "b", "n_papers", "mentions"))
+
+
+def fits(where: dict) -> Column:
+    """A flat filter as a condition: each key has the value, or one of the list."""
+    out = F.lit(True)
+    for key, value in where.items():
+        out = out & (F.col(key).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(key) == value)
+    return out
+
+
+def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
+    """The rows of a page, from 1, of a table in an order."""
+    return df.orderBy(*order).offset(size * (number - 1)).limit(size)
+
+
+def passage() -> Column:
+    """A chunk as it is shown: paper, section and page, and its text with blanks collapsed."""
+    section = section_of(F.col("source"))
+    where = F.concat(stem_of(F.col("source")), F.lit(", "), F.when(section == "", "no section").otherwise(section), F.when(F.col("page_no") > 0, F.concat(F.lit(", p. "), F.col("page_no").cast("string"))).otherwise(""))
+    return F.concat(F.lit("["), where, F.lit("] "), collapsed(F.col("text")))
+
+
+def identifier(text: Column) -> Column:
+    """A name in lower case with an underscore for each run of other characters."""
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_")
+
+
+def across_vocabularies(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(written, canonical, n): each distinct word (written), normalised, with
+    the first canonical name whose name (name, canonical) normalises to the
+    same, and how many do."""
+    v = vocabulary.select(identifier(F.col("name")).alias("written"), "canonical").distinct()
+    return words.select(identifier(F.col("written")).alias("written")).distinct().join(v, "written", "left").groupBy("written").agg(F.min("canonical").alias("canonical"), F.count("canonical").alias("n"))
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text: what full stops, question and exclamation marks before blanks part."""
+    return F.filter(F.split(text, r"[.!?]+[ \t\r\n]+"), lambda s: F.trim(F.translate(s, "\t\r\n", "   ")) != "")

@@ -190,3 +190,22 @@ def coordinates_in_name(name: Column) -> tuple[Column, Column]:
     at = lambda k: F.nullif(F.regexp_extract(name, r"J([0-9]{2})([0-9]{2})([0-9]{2}(?:\.[0-9]+)?)([+-])([0-9]{2})([0-9]{2})([0-9]{2}(?:\.[0-9]+)?)$", k), F.lit(""))
     sexagesimal = lambda k: at(k).cast("double") + at(k + 1).cast("double") / 60 + at(k + 2).cast("double") / 3600
     return 15 * sexagesimal(1), F.when(at(4) == "-", -1.0).otherwise(1.0) * sexagesimal(5)
+
+
+def altitude_deg(ra: Column, dec: Column, lst_hours: Column, latitude: float) -> Column:
+    """Altitude of a place on the sky at a sidereal time, in degrees."""
+    a, b, p = F.radians(lst_hours * 15 - ra), F.radians(dec), F.radians(F.lit(latitude))
+    s = F.sin(p) * F.sin(b) + F.cos(p) * F.cos(b) * F.cos(a)
+    return F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), s))))
+
+
+# The galactic pole and the longitude of the celestial pole (J2000), in degrees.
+POLE_RA, POLE_DEC, POLE_L = 192.859481, 27.12825, 122.931918
+
+
+def galactic(ra: Column, dec: Column) -> tuple[Column, Column]:
+    """(longitude, latitude) in galactic coordinates, in degrees."""
+    a, b, p = F.radians(ra - POLE_RA), F.radians(dec), F.radians(F.lit(POLE_DEC))
+    s = F.sin(b) * F.sin(p) + F.cos(b) * F.cos(p) * F.cos(a)
+    y, x = F.cos(b) * F.sin(a), F.sin(b) * F.cos(p) - F.cos(b) * F.sin(p) * F.cos(a)
+    return F.pmod(POLE_L - F.degrees(F.atan2(y, x)), F.lit(360.0)), F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), s))))

@@ -30,7 +30,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries of the core, and their SQL."""
     import importlib
 
-    for m in ("problems", "corpus", "papers", "relations", "requests", "numeric", "stream"):
+    for m in ("problems", "corpus", "papers", "relations", "requests", "views", "numeric", "stream"):
         try:
             importlib.import_module(f"almagest.plans.{m}")
         except ModuleNotFoundError as e:
