@@ -1,14 +1,15 @@
 """Near-duplicate texts by a signature-coordinate inverted join.
 
 Texts of equal words collapse to one representative first. Each representative
-gets a MinHash of its word shingles, of which fixed sets of three make the
-coordinates of its signature: two texts agree in a coordinate with the third
-power of their similarity, so texts that merely share a vocabulary hardly ever
-do. It is posted under its coordinate-value pairs. A pair that occurs in one text only cannot collide and
+gets a MinHash of its word shingles, of which fixed pairs make the coordinates
+of its signature: two texts agree in a coordinate with the square of their
+similarity, so texts that merely share a vocabulary hardly ever do. It is posted
+under its coordinate-value pairs. A pair that occurs in one text only cannot collide and
 is dropped; of the others each text posts only a prefix, in order of rarity:
 two texts that agree in `min_match` coordinates must meet in the prefixes,
 because each prefix leaves out fewer than `min_match` of the coordinates that
-can collide. Collisions of a pair are counted; those that its prefixes cannot
+can collide. What it leaves out are the hottest, so texts that share no more
+than a boilerplate passage do not meet. Collisions of a pair are counted; those that its prefixes cannot
 have shown are merged in from the packed minima, and pairs above a match
 threshold are checked exactly on their shingles.
 """
@@ -38,7 +39,7 @@ _MEMO = 300_000
 class Shingler:
     """Hashes of the distinct runs of `k` words of a text, and their MinHash."""
 
-    def __init__(self, k: int, minima: int, coordinates: int = 1, size: int = 3):
+    def __init__(self, k: int, minima: int, coordinates: int = 1, size: int = 2):
         self.k, self.words = k, {}
         rng = np.random.default_rng(20240229)
         self.mul = rng.integers(1, 2**63, minima, dtype=np.uint64) | np.uint64(1)
@@ -91,7 +92,7 @@ class Shingler:
         return best
 
 
-def signatures(df: DataFrame, key: str, text: str, shingle: int, minima: int, coordinates: int, min_words: int, size: int = 3) -> DataFrame:
+def signatures(df: DataFrame, key: str, text: str, shingle: int, minima: int, coordinates: int, min_words: int, size: int = 2) -> DataFrame:
     """(key, hashes, minima, coords) of the texts of at least `min_words`
     words: the sorted distinct shingles, by which equal texts are told, the
     packed minima, and the coordinates of the signature."""
@@ -119,6 +120,13 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int, minima: int, co
     return cols.mapInArrow(run, f"key {kind}, hashes array<bigint>, minima array<bigint>, coords array<bigint>")
 
 
+def match_threshold(threshold: float, coordinates: int, size: int, deviations: float = 3.6) -> int:
+    """The coordinates that texts right at the threshold agree in, but for so
+    many standard deviations; one at least."""
+    p = threshold**size
+    return max(1, int(coordinates * p - deviations * (coordinates * p * (1 - p)) ** 0.5))
+
+
 def prefix_hits(reps: DataFrame, min_match: int) -> DataFrame:
     """(a, b, met), a < b: the pairs of reps (rep, coords) that meet in their
     prefixes and how often, each once: among them every pair that agrees in
@@ -162,7 +170,7 @@ def verified(hits: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int = 5, min_words: int = 0, minima: int = 128, coordinates: int = 64, min_match: int = 2, sigmas: float | None = 4.2) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int = 5, min_words: int = 0, minima: int = 128, coordinates: int = 64, min_match: int | None = None, size: int = 2, sigmas: float | None = 4.2) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, jaccard) of representatives with a
     Jaccard similarity of at least `threshold` between their sets of runs of
     `shingle` words, and members (rep, key) of every text that takes part.
@@ -170,12 +178,14 @@ def similar(df: DataFrame, key: str, text: str, threshold: float, shingle: int =
     (their smallest key), however many they are; null texts and those of fewer
     than `min_words` words, or without a run, take no part.
 
-    Texts are compared that agree in `min_match` of the coordinates and, in
-    four bits of their minima, in no fewer than `sigmas` standard deviations
-    below the number expected at the threshold (None: whatever the number). Of
-    pairs right at a threshold of 0.6 about one in 30,000 is missed (simulated).
+    Texts are compared that agree in `min_match` of the coordinates (None: as
+    match_threshold() has it) and, in four bits of their minima, in no fewer
+    than `sigmas` standard deviations below the number expected at the
+    threshold (None: whatever the number). Of pairs right at a threshold of 0.6
+    about one in 30,000 is missed (simulated).
     """
-    s = signatures(over_all_cores(df), key, text, shingle, minima, coordinates, min_words)
+    min_match = min_match or match_threshold(threshold, coordinates, size)
+    s = signatures(over_all_cores(df), key, text, shingle, minima, coordinates, min_words, size)
     s = cut(s.withColumn("same", F.struct(F.xxhash64("hashes"), F.xxhash64(F.lit("again"), "hashes"), F.size("hashes"))))
     first = s.groupBy("same").agg(F.min("key").alias("rep"))
     members = s.select("key", "same").join(first, "same").select("rep", "key")

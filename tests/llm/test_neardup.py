@@ -89,3 +89,27 @@ def test_shingles_of_any_length(text):
     s = neardup.Shingler(3, 16)
     h, n = s.hashes(text)
     assert len(h) == len(shingles(text, 3)[0]) and n == len(text.split()) and len(s.minima(h)) == 16
+
+
+def test_shared_boilerplate_makes_few_candidates(spark):
+    """A passage that all texts share is in the coordinates that prefixes leave out."""
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(20000)]
+    boiler = " ".join(rnd.choices(vocab, k=20))
+    df = spark.createDataFrame([(i, boiler + " " + " ".join(rnd.choices(vocab, k=60))) for i in range(600)], "k int, t string")
+    s = neardup.signatures(df, "k", "t", 3, 128, 64, 20).select(F.col("key").alias("rep"), "coords")
+    n = neardup.match_threshold(0.6, 64, 2)
+    assert n > 5 and neardup.prefix_hits(s, n).count() < 0.001 * 600 * 599 / 2 < neardup.prefix_hits(s, 1).count()
+    assert neardup.match_threshold(0.1, 8, 2) == 1
+
+
+def test_without_the_comparison_of_minima(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(10):
+        base = rnd.choices(vocab, k=60)
+        rows += [(len(rows), edited(rnd, base, k)) for k in (0, 2, 5)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    a, b = (sorted(map(tuple, neardup.similar(df, "k", "t", 0.6, 3, 20, sigmas=x)[0].collect())) for x in (4.2, None))
+    assert a == b and len(a) >= 10
