@@ -109,7 +109,7 @@ def test_without_the_comparison_of_minima(spark):
     rows = []
     for g in range(10):
         base = rnd.choices(vocab, k=60)
-        rows += [(len(rows), edited(rnd, base, k)) for k in (0, 2, 5)]
+        rows += [(3 * g + j, edited(rnd, base, k)) for j, k in enumerate((0, 2, 5))]
     df = spark.createDataFrame(rows, "k int, t string")
     a, b = (sorted(map(tuple, neardup.similar(df, "k", "t", 0.6, 3, 20, sigmas=x)[0].collect())) for x in (4.2, None))
     assert a == b and len(a) >= 10
