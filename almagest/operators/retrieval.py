@@ -10,14 +10,19 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almagest.session import cut
+
 # BM25 saturation, length weight and floor of the inverse document frequency; the constant and weights of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, W_FIRST, W_SECOND = 60, 1.0, 0.5
 #: Queries and vectors of a block of the nearest-neighbour search, and the queries of a step within it.
 QUERY_BLOCK, VECTOR_BLOCK, STEP = 8192, 4096, 512
+#: Scores of a tile of queries and documents, its most documents, and the share of its cells from which a token is worth a column.
+CELLS, MOST_TILE, DENSE = 1 << 22, 2048, 0.005
 #: Best score below which an answer is weak, and the places of a hashed vector.
 WEAK, PLACES = 0.3, 64
 
@@ -34,40 +39,162 @@ def top_per_query(scored: DataFrame, score: str, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of docs (id, text) that share a token with queries
-    (query_id, text). Frequencies are of all docs; a token repeated in a query
-    counts as often; a negative inverse document frequency is replaced by
-    EPSILON times the mean one. Null texts are empty. Texts are split once:
-    lengths travel with the tokens, whose counts serve frequencies and scores."""
-    words = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    tf = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
-    stats = docs.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))  # one row
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), (F.col("all") / F.col("n")).alias("avgdl"))  # one row
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    q = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    # only tokens that some query has go on
-    w = q.join(idf, "token").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
-    s = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return w.join(tf, "token").groupBy("query_id", "id").agg(F.sum(s).alias("score"))
-
-
-def bm25_top(docs: DataFrame, queries: DataFrame, n: int, allowed: DataFrame | None = None) -> DataFrame:
-    """The n best documents of each query, of those `allowed` (id) names, scores
-    compared to six places. Frequencies are of all documents, whatever is
-    allowed. Documents that share no token with a query score 0 and follow the
-    others by id; the first 2n of them suffice for any query."""
-    hit = bm25(docs, queries)
-    every = docs.select("id")
-    if allowed is not None:
-        hit, every = hit.join(allowed, "id", "left_semi"), allowed.select("id")
-    best = top_per_query(hit.withColumn("r", F.round("score", 6)), "r", n)
-    first = every.orderBy("id").limit(2 * n).agg(F.collect_list("id").alias("ids"))  # 2n ids at most
-    short = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("k")), "query_id", "left").where(F.coalesce("k", F.lit(0)) < n)
-    fill = short.crossJoin(F.broadcast(first)).select("query_id", F.explode("ids").alias("id")).join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")  # one row
-    both = best.select("query_id", "id", "score").unionByName(fill.withColumn("score", F.lit(0.0)))
-    return top_per_query(both.withColumn("r", F.round("score", 6)), "r", n).select("query_id", "id", "score", "rank")
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(token, df, dl) of docs (id, text), written once: the number of documents
+    with each token; the row of the null token has the number of documents and
+    the sum of their lengths. Tokens are counted where their text lies."""
+    w = docs.select(tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    t = w.select(F.size("w").cast("bigint").alias("dl"), F.explode(F.array_append(F.array_distinct("w"), F.lit(None).cast("string"))).alias("token"))
+    return cut(t.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("dl"))).alias("dl")))
+
+
+def _weighed(bags: DataFrame, seen: DataFrame) -> tuple[DataFrame, float]:
+    """(b, words, weights) of bags (b, bag), words joined by blanks, and the mean
+    length of the documents that `seen` counts. A token repeated in a bag counts
+    as often; a negative inverse document frequency is replaced by EPSILON times
+    the mean one; tokens of no document are dropped, bags are not."""
+    whole = seen.where("token is null").first()  # one row
+    n, length = (whole.df, whole.dl) if whole else (0, 0)
+    idf = seen.where("token is not null").select("token", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = idf.agg(F.avg("idf")).first()[0] or 0.0  # one row
+    q = bags.select("b", F.explode_outer("bag").alias("token")).groupBy("b", "token").agg(F.count("*").alias("qtf"))
+    weight = F.col("qtf") * F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf"))
+    one = F.when(F.col("idf").isNotNull(), F.struct("token", weight.alias("w")))
+    packed = q.join(idf, "token", "left").groupBy("b").agg(F.collect_list(one).alias("x"))  # a query
+    return packed.select("b", F.array_join(F.col("x.token"), " ").alias("words"), F.col("x.w").alias("weights")), length / n if length else 1.0
+
+
+class _Asked:
+    """The queries of a block and the best documents that they have met."""
+
+    def __init__(self, ids: list, words: list, weights: list, n: int, mean_length: float):
+        self.ids, self.n, self.mean_length = pa.concat_arrays(ids).to_numpy(), n, mean_length
+        flat, row = _split(pa.concat_arrays(words))
+        coded = flat.dictionary_encode()
+        self.vocabulary, token = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(token, kind="stable")
+        self.row, self.weight = row[order], pa.concat_arrays(weights).flatten().to_numpy(zero_copy_only=False)[order]
+        self.count = np.bincount(token, minlength=len(self.vocabulary))
+        self.start = np.cumsum(self.count) - self.count
+        self.tile = min(MOST_TILE, max(64, CELLS // len(self.ids)))
+        self.place = None
+        self.q, self.id, self.score, self.key = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+        self.least = np.full(len(self.ids), -np.inf)
+
+    def _columns(self, token: np.ndarray, size: int) -> None:
+        """Tokens that many queries and many documents of the first tile hold
+        become columns of a matrix; the others are added posting by posting."""
+        cells = self.count * np.bincount(token, minlength=len(self.count))
+        most = np.argsort(-cells, kind="stable")[: max(1, 2 * CELLS // len(self.ids))]
+        most = most[cells[most] > DENSE * len(self.ids) * size]
+        self.place = np.full(len(self.count), -1)
+        self.place[most] = np.arange(len(most))
+        self.matrix = np.zeros((len(self.ids), len(most)))
+        for k, t in enumerate(most):
+            at = slice(self.start[t], self.start[t] + self.count[t])
+            self.matrix[self.row[at], k] = self.weight[at]
+
+    def meet(self, ids: np.ndarray, words: pa.Array) -> None:
+        """Documents in order of their ids, which follow those met before."""
+        size = len(ids)
+        flat, doc = _split(words)
+        length = np.bincount(doc, minlength=size)
+        token = pc.index_in(flat, value_set=self.vocabulary)
+        known = token.is_valid().to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(token.drop_null().to_numpy().astype(np.int64) * size + doc[known], return_counts=True)
+        token, doc = pair // size, pair % size
+        value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / self.mean_length))
+        if self.place is None:
+            self._columns(token, size)
+        place = self.place[token]
+        inside = place >= 0
+        columns = np.zeros((self.matrix.shape[1], size))
+        columns[place[inside], doc[inside]] = value[inside]
+        score = self.matrix @ columns
+        token, doc, value = token[~inside], doc[~inside], value[~inside]
+        ends = np.cumsum(self.count[token])
+        at = 0
+        while at < len(token):  # postings in steps of about CELLS / 4
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS // 4, "right")))
+            count = self.count[token[at:to]]
+            of = np.repeat(np.arange(at, to), count)
+            posting = self.start[token[of]] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            np.add.at(score.reshape(-1), self.row[posting] * size + doc[of], self.weight[posting] * value[of])
+            at = to
+        key = np.round(score, 6)
+        # a later document of the same score has the larger id
+        better = key > self.least[:, None] if len(self.q) else key >= (np.partition(key, size - self.n, axis=1)[:, size - self.n, None] if size > self.n else -np.inf)
+        q, d = np.nonzero(better)
+        if not len(q):
+            return
+        q, i, s, k = (np.concatenate(x) for x in ((self.q, q), (self.id, ids[d]), (self.score, score[q, d]), (self.key, key[q, d])))
+        order = np.lexsort((i, -k, q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        order, q, rank = order[rank < self.n], q[rank < self.n], rank[rank < self.n]
+        self.q, self.id, self.score, self.key = q, i[order], s[order], k[order]
+        full = rank == self.n - 1
+        self.least[q[full]] = self.key[full]
+
+    def best(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q]), pa.array(self.id), pa.array(self.score)], names=["query_id", "id", "score"])
+
+
+def _split(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts joined by single blanks, and the place of the text of each."""
+    lists = pc.split_pattern(words, " ")
+    flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    some = pc.not_equal(flat, "")
+    return flat.filter(some), row[some.to_numpy(zero_copy_only=False)]
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, n: int, allowed: DataFrame | Column | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the n best docs (id, text) of each query
+    (query_id, text), of those that `allowed` (rows of ids, or a condition on
+    docs) names, scores compared to six places. Frequencies are of all
+    documents, whatever is allowed. Documents that share no token with a query
+    score 0 and are ranked with the others, ties to the smaller id. Null texts
+    are empty.
+
+    Queries of the same words are answered once. Documents are dealt out to
+    parts; in each, blocks of QUERY_BLOCK queries meet all of its documents, tile
+    by tile, and only the n best of each query leave it."""
+    bags = queries.select("query_id", F.array_sort(tokens(F.coalesce("text", F.lit("")))).alias("bag"))
+    first = bags.groupBy("bag").agg(F.min("query_id").alias("b"))
+    weighed, mean_length = _weighed(first, frequencies(docs))
+    asked = cut(weighed)
+    parts, blocks = 2 * docs.sparkSession.sparkContext.defaultParallelism, max(1, -(-asked.count() // QUERY_BLOCK))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = asked.select(every(parts).alias("part"), F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("b").cast("bigint").alias("id"), "words", "weights")
+    d = docs if allowed is None else docs.where(allowed) if isinstance(allowed, Column) else docs.join(allowed, "id", "left_semi")
+    d = d.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"), F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"), F.array_join(tokens(F.coalesce("text", F.lit(""))), " ").alias("words"), F.lit(None).cast("array<double>").alias("weights"))
+    rows = q.unionByName(d).repartitionById(parts, "part").sortWithinPartitions("block", "kind", "id").select("block", "kind", "id", "words", "weights")
+
+    def run(batches):
+        block, heard, now = None, [], None
+        for batch in batches:
+            at = np.column_stack([batch.column(k).to_numpy() for k in (0, 1)])
+            ends = [*(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)] if len(at) else []
+            for lo, hi in zip([0, *ends], ends):
+                if at[lo, 0] != block:
+                    if now is not None:
+                        yield now.best()
+                    block, heard, now = at[lo, 0], [], None
+                ids, words, weights = (batch.column(k).slice(lo, hi - lo) for k in (2, 3, 4))
+                if at[lo, 1] == 0:
+                    heard.append((ids, words, weights))
+                    continue
+                if now is None and heard:
+                    now, heard = _Asked(*zip(*heard), n, mean_length), []
+                for k in range(0, hi - lo, now.tile if now is not None else hi - lo):
+                    if now is not None:
+                        now.meet(ids.slice(k, now.tile).to_numpy(), words.slice(k, now.tile))
+        if now is not None:
+            yield now.best()
+
+    best = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+    best = top_per_query(best.withColumn("r", F.round("score", 6)), "r", n).select(F.col("query_id").alias("b"), "id", "score", "rank")
+    return bags.join(first, "bag").select("query_id", "b").join(best, "b").select("query_id", "id", "score", "rank")
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, places: int = PLACES) -> DataFrame:
