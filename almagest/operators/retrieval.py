@@ -28,8 +28,8 @@ WEAK, PLACES = 0.3, 64
 
 
 def tokens(text: Column) -> Column:
-    """What stands between blanks, in lower case."""
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    """What stands between blanks, in lower case letter by letter: a sigma does not depend on its place."""
+    return F.filter(F.split(F.lower(F.translate(text, "Σ", "σ")), r"(?U)\s+"), lambda w: w != "")
 
 
 def top_per_query(scored: DataFrame, score: str, n: int) -> DataFrame:

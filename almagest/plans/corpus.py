@@ -209,7 +209,7 @@ def r5_bm25_filtered(spark, d):
     """r5_bm25 among the chunks of the body: frequencies are of all chunks, the filter applies after scoring."""
     c = latest_chunks(spark, d)
     q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("heading").alias("text"))
-    top = retrieval.bm25_top(c.select(F.col("chunk_id").alias("id"), "text"), q, 10, allowed=c.where("zone = 'body'").select(F.col("chunk_id").alias("id")))
+    top = retrieval.bm25_top(c.select(F.col("chunk_id").alias("id"), "text", "zone"), q, 10, allowed=F.col("zone") == "body")
     return top.withColumnRenamed("id", "chunk_id").withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 

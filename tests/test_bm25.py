@@ -65,3 +65,17 @@ def test_tiles_give_what_one_matrix_gives():
         got = [(r["query_id"], r["id"], round(r["score"], 6)) for r in x.best().to_pylist()]
         whole = whole or got
         assert len(got) == 6 * len(texts) and got == whole
+
+
+def test_the_filter_joins_nothing(spark, data):
+    """r5_bm25_filtered passes its filter as a condition; neither pairs nor texts are joined for it."""
+    from almagest.plans import corpus
+
+    plan = corpus.r5_bm25_filtered(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") <= 2 and len(re.findall(r"\bExchange ", plan)) <= 12
+
+
+def test_lower_case_goes_letter_by_letter(spark):
+    """As in the SQL: otherwise one word more or less moves the mean frequency and with it the scores."""
+    got = spark.createDataFrame([("ΣΤΑΘΜΌΣ σταθμός İX",)], "text string").select(retrieval.tokens(retrieval.F.col("text"))).first()[0]
+    assert got[:2] == ["σταθμόσ", "σταθμός"]
