@@ -19,8 +19,8 @@ from almagest.session import cut
 # BM25 saturation, length weight and floor of the inverse document frequency; the constant and weights of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, W_FIRST, W_SECOND = 60, 1.0, 0.5
-#: Queries and vectors of a block of the nearest-neighbour search, and the queries of a step within it.
-QUERY_BLOCK, VECTOR_BLOCK, STEP = 8192, 4096, 512
+#: Queries of a block that documents or vectors meet at once.
+QUERY_BLOCK = 8192
 #: Scores of a tile of queries and documents, its most documents, and the share of its cells from which a token is worth a column.
 CELLS, MOST_TILE, DENSE = 1 << 22, 2048, 0.005
 #: Best score below which an answer is weak, and the places of a hashed vector.
@@ -64,11 +64,84 @@ def _weighed(bags: DataFrame, seen: DataFrame) -> tuple[DataFrame, float]:
     return packed.select("b", F.array_join(F.col("x.token"), " ").alias("words"), F.col("x.w").alias("weights")), length / n if length else 1.0
 
 
-class _Asked:
-    """The queries of a block and the best documents that they have met."""
+class _Best:
+    """The n best documents that each query of a block has met so far."""
+
+    def __init__(self, ids: list, n: int):
+        self.ids, self.n = pa.concat_arrays(ids).to_numpy(), n
+        self.tile = min(MOST_TILE, max(64, CELLS // len(self.ids)))
+        self.q, self.id, self.score, self.key = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+        self.least = np.full(len(self.ids), -np.inf)
+
+    def take(self, ids: np.ndarray, score: np.ndarray) -> None:
+        """Scores by query and document; the documents are in order of their
+        ids and follow those met before. What is not finite takes no part."""
+        size, key = len(ids), np.round(score, 6)
+        key[~np.isfinite(key)] = -np.inf
+        # a later document of the same score has the larger id
+        better = key > self.least[:, None]
+        if not len(self.q) and size > self.n:
+            better &= key >= np.partition(key, size - self.n, axis=1)[:, size - self.n, None]
+        q, d = np.nonzero(better)
+        if not len(q):
+            return
+        q, i, s, k = (np.concatenate(x) for x in ((self.q, q), (self.id, ids[d]), (self.score, score[q, d]), (self.key, key[q, d])))
+        order = np.lexsort((i, -k, q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        order, q, rank = order[rank < self.n], q[rank < self.n], rank[rank < self.n]
+        self.q, self.id, self.score, self.key = q, i[order], s[order], k[order]
+        full = rank == self.n - 1
+        self.least[q[full]] = self.key[full]
+
+    def best(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q]), pa.array(self.id), pa.array(self.score)], names=["query_id", "id", "score"])
+
+
+def _meetings(queries: DataFrame, docs: DataFrame, make: Callable[..., _Best]) -> DataFrame:
+    """(query_id, id, score): the best of each part of docs (id, ...) for
+    queries (query_id, ...) with the same further columns. Documents are dealt
+    out to parts; in each, blocks of QUERY_BLOCK queries, of which `make` gets
+    the columns in pieces, meet all of its documents tile by tile. Queries are a
+    stated set, written once."""
+    asked = cut(queries)
+    parts, blocks = 2 * docs.sparkSession.sparkContext.defaultParallelism, max(1, -(-asked.count() // QUERY_BLOCK))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    more = [x for x in docs.columns if x != "id"]
+    q = asked.select(every(parts).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("query_id").cast("bigint").alias("id"), *more)
+    d = docs.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"), F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"), *more)
+    rows = q.unionByName(d).repartitionById(parts, "part").sortWithinPartitions("block", "kind", "id").select("block", "kind", "id", *more)
+
+    def run(batches):
+        block, heard, now = None, [], None
+        for batch in batches:
+            at = np.column_stack([batch.column(k).to_numpy() for k in (0, 1)])
+            ends = [*(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)] if len(at) else []
+            for lo, hi in zip([0, *ends], ends):
+                if at[lo, 0] != block:
+                    if now is not None:
+                        yield now.best()
+                    block, heard, now = at[lo, 0], [], None
+                ids, *rest = (x.slice(lo, hi - lo) for x in batch.columns[2:])
+                if at[lo, 1] == 0:
+                    heard.append((ids, *rest))
+                    continue
+                if now is None and heard:
+                    now, heard = make(*zip(*heard)), []
+                for k in range(0, hi - lo, now.tile) if now is not None else ():
+                    now.meet(ids.slice(k, now.tile).to_numpy(), *(x.slice(k, now.tile) for x in rest))
+        if now is not None:
+            yield now.best()
+
+    return rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+
+
+class _Asked(_Best):
+    """Queries as weighed words, by BM25."""
 
     def __init__(self, ids: list, words: list, weights: list, n: int, mean_length: float):
-        self.ids, self.n, self.mean_length = pa.concat_arrays(ids).to_numpy(), n, mean_length
+        super().__init__(ids, n)
+        self.mean_length, self.place = mean_length, None
         flat, row = _split(pa.concat_arrays(words))
         coded = flat.dictionary_encode()
         self.vocabulary, token = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
@@ -76,10 +149,6 @@ class _Asked:
         self.row, self.weight = row[order], pa.concat_arrays(weights).flatten().to_numpy(zero_copy_only=False)[order]
         self.count = np.bincount(token, minlength=len(self.vocabulary))
         self.start = np.cumsum(self.count) - self.count
-        self.tile = min(MOST_TILE, max(64, CELLS // len(self.ids)))
-        self.place = None
-        self.q, self.id, self.score, self.key = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
-        self.least = np.full(len(self.ids), -np.inf)
 
     def _columns(self, token: np.ndarray, size: int) -> None:
         """Tokens that many queries and many documents of the first tile hold
@@ -94,8 +163,7 @@ class _Asked:
             at = slice(self.start[t], self.start[t] + self.count[t])
             self.matrix[self.row[at], k] = self.weight[at]
 
-    def meet(self, ids: np.ndarray, words: pa.Array) -> None:
-        """Documents in order of their ids, which follow those met before."""
+    def meet(self, ids: np.ndarray, words: pa.Array, _: pa.Array | None = None) -> None:
         size = len(ids)
         flat, doc = _split(words)
         length = np.bincount(doc, minlength=size)
@@ -121,23 +189,7 @@ class _Asked:
             posting = self.start[token[of]] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             np.add.at(score.reshape(-1), self.row[posting] * size + doc[of], self.weight[posting] * value[of])
             at = to
-        key = np.round(score, 6)
-        # a later document of the same score has the larger id
-        better = key > self.least[:, None] if len(self.q) else key >= (np.partition(key, size - self.n, axis=1)[:, size - self.n, None] if size > self.n else -np.inf)
-        q, d = np.nonzero(better)
-        if not len(q):
-            return
-        q, i, s, k = (np.concatenate(x) for x in ((self.q, q), (self.id, ids[d]), (self.score, score[q, d]), (self.key, key[q, d])))
-        order = np.lexsort((i, -k, q))
-        q = q[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        order, q, rank = order[rank < self.n], q[rank < self.n], rank[rank < self.n]
-        self.q, self.id, self.score, self.key = q, i[order], s[order], k[order]
-        full = rank == self.n - 1
-        self.least[q[full]] = self.key[full]
-
-    def best(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q]), pa.array(self.id), pa.array(self.score)], names=["query_id", "id", "score"])
+        self.take(ids, score)
 
 
 def _split(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -156,43 +208,13 @@ def bm25_top(docs: DataFrame, queries: DataFrame, n: int, allowed: DataFrame | C
     score 0 and are ranked with the others, ties to the smaller id. Null texts
     are empty.
 
-    Queries of the same words are answered once. Documents are dealt out to
-    parts; in each, blocks of QUERY_BLOCK queries meet all of its documents, tile
-    by tile, and only the n best of each query leave it."""
+    Queries of the same words are answered once."""
     bags = queries.select("query_id", F.array_sort(tokens(F.coalesce("text", F.lit("")))).alias("bag"))
     first = bags.groupBy("bag").agg(F.min("query_id").alias("b"))
     weighed, mean_length = _weighed(first, frequencies(docs))
-    asked = cut(weighed)
-    parts, blocks = 2 * docs.sparkSession.sparkContext.defaultParallelism, max(1, -(-asked.count() // QUERY_BLOCK))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    q = asked.select(every(parts).alias("part"), F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("b").cast("bigint").alias("id"), "words", "weights")
     d = docs if allowed is None else docs.where(allowed) if isinstance(allowed, Column) else docs.join(allowed, "id", "left_semi")
-    d = d.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"), F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"), F.array_join(tokens(F.coalesce("text", F.lit(""))), " ").alias("words"), F.lit(None).cast("array<double>").alias("weights"))
-    rows = q.unionByName(d).repartitionById(parts, "part").sortWithinPartitions("block", "kind", "id").select("block", "kind", "id", "words", "weights")
-
-    def run(batches):
-        block, heard, now = None, [], None
-        for batch in batches:
-            at = np.column_stack([batch.column(k).to_numpy() for k in (0, 1)])
-            ends = [*(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)] if len(at) else []
-            for lo, hi in zip([0, *ends], ends):
-                if at[lo, 0] != block:
-                    if now is not None:
-                        yield now.best()
-                    block, heard, now = at[lo, 0], [], None
-                ids, words, weights = (batch.column(k).slice(lo, hi - lo) for k in (2, 3, 4))
-                if at[lo, 1] == 0:
-                    heard.append((ids, words, weights))
-                    continue
-                if now is None and heard:
-                    now, heard = _Asked(*zip(*heard), n, mean_length), []
-                for k in range(0, hi - lo, now.tile if now is not None else hi - lo):
-                    if now is not None:
-                        now.meet(ids.slice(k, now.tile).to_numpy(), words.slice(k, now.tile))
-        if now is not None:
-            yield now.best()
-
-    best = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+    d = d.select("id", F.array_join(tokens(F.coalesce("text", F.lit(""))), " ").alias("words"), F.lit(None).cast("array<double>").alias("weights"))
+    best = _meetings(weighed.withColumnRenamed("b", "query_id"), d, lambda ids, words, weights: _Asked(ids, words, weights, n, mean_length))
     best = top_per_query(best.withColumn("r", F.round("score", 6)), "r", n).select(F.col("query_id").alias("b"), "id", "score", "rank")
     return bags.join(first, "bag").select("query_id", "b").join(best, "b").select("query_id", "id", "score", "rank")
 
@@ -200,13 +222,21 @@ def bm25_top(docs: DataFrame, queries: DataFrame, n: int, allowed: DataFrame | C
 def hashed_vectors(df: DataFrame, key: str, text: str, places: int = PLACES) -> DataFrame:
     """(key, embedding): the words of a text hashed to signed places, of length
     1; a stand-in for an encoder. A text without words gives null."""
-    w = df.select(key, F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("w")).withColumn("h", F.xxhash64("w"))
-    sign = F.when(F.col("w").isNull(), 0.0).when(F.col("h").bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0)
-    per = w.groupBy(key, F.pmod("h", F.lit(places)).cast("int").alias("at")).agg(F.sum(sign).alias("s"))
-    # at most `places` entries a key
-    sums = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("norm"))
-    return sums.select(key, F.when(F.col("norm") > 0, vector).alias("embedding"))
+    kind = df.schema[key].dataType.simpleString()
+    hashes = df.select(key, F.transform(tokens(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("h"))
+
+    def run(batches):
+        for batch in batches:
+            h, n = batch.column(1), batch.num_rows
+            row, h = np.repeat(np.arange(n), pc.list_value_length(h).to_numpy(zero_copy_only=False)), h.flatten().to_numpy(zero_copy_only=False)
+            sums = np.bincount(row * places + h % places, np.where(h & (1 << 40) == 0, 1.0, -1.0), n * places).reshape(n, places)
+            norm = np.sqrt((sums * sums).sum(axis=1))
+            some = norm > 0
+            vectors = (sums[some] / norm[some, None]).ravel()
+            ends = np.concatenate([[0], np.cumsum(some * places)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(vectors), mask=pa.array(~some))], names=[key, "embedding"])
+
+    return hashes.mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
 def similarity_score(distance: Column) -> Column:
@@ -219,48 +249,30 @@ def priority_of(doc_source: Column, weights: dict[str, float]) -> Column:
     return F.coalesce(*[F.when(doc_source == k, F.lit(float(v))) for k, v in weights.items()], F.lit(1.0))
 
 
-def _in_blocks(df: DataFrame, key: str, size: int, block: str, ids: str, vecs: str) -> tuple[DataFrame, int]:
-    """Rows (key, embedding) packed into blocks of about `size`, by a hash."""
-    n = max(1, -(-df.count() // size))
-    d = df.select(key, F.col("embedding").cast("array<double>").alias("e")).where("e is not null")
-    d = d.withColumn(block, F.pmod(F.xxhash64(key), F.lit(n)))
-    packed = d.groupBy(block).agg(F.collect_list(F.struct(F.col(key).alias("k"), "e")).alias("x"))
-    return packed.select(block, F.col("x.k").alias(ids), F.col("x.e").alias(vecs)), n
+class _Near(_Best):
+    """Queries as vectors, by cosine."""
+
+    def __init__(self, ids: list, vectors: list, n: int):
+        super().__init__(ids, n)
+        self.matrix = self._unit(pa.concat_arrays(vectors))
+
+    @staticmethod
+    def _unit(vectors: pa.Array) -> np.ndarray:
+        m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return m / np.linalg.norm(m, axis=1)[:, None]
+
+    def meet(self, ids: np.ndarray, vectors: pa.Array) -> None:
+        with np.errstate(invalid="ignore"):
+            self.take(ids, np.round(self.matrix @ self._unit(vectors).T, 6))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, rank, cos): the n vectors (id, embedding) of greatest
     cosine to each query (query_id, embedding), exactly, to six places, ties to
-    the smaller id. Queries are a stated set: blocks of QUERY_BLOCK queries meet
-    blocks of VECTOR_BLOCK vectors, each meeting keeps the n best of each query,
-    and only those are merged. A null or zero vector takes no part."""
-    q, n_blocks = _in_blocks(queries, "query_id", QUERY_BLOCK, "b", "qi", "qv")
-    v, _ = _in_blocks(vectors, "id", VECTOR_BLOCK, "p", "vi", "vv")
-    meetings = v.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))).join(q, "b").select("qi", "qv", "vi", "vv")
-
-    def matrix(column, i: int) -> np.ndarray:
-        rows = column[i].values
-        return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qi, vi = (batch.column(k)[i].values.to_numpy() for k in (0, 2))
-                qv, vv = matrix(batch.column(1), i), matrix(batch.column(3), i)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    qv, vv = qv / np.linalg.norm(qv, axis=1)[:, None], vv / np.linalg.norm(vv, axis=1)[:, None]
-                order = np.argsort(vi, kind="stable")
-                vi, vv = vi[order], vv[order]
-                for at in range(0, len(qi), STEP):
-                    c = np.round(qv[at : at + STEP] @ vv.T, 6)
-                    c[~np.isfinite(c)] = -np.inf
-                    top = np.argsort(-c, axis=1, kind="stable")[:, :n]  # ties stay in order of their ids
-                    row, col = np.repeat(np.arange(len(c)), top.shape[1]), top.ravel()
-                    cos = c[row, col]
-                    ok = np.isfinite(cos)
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[at + row][ok]), pa.array(vi[col][ok]), pa.array(cos[ok])], names=["query_id", "id", "cos"])
-
-    best = meetings.mapInArrow(run, "query_id bigint, id bigint, cos double")
+    the smaller id. A null or zero vector takes no part."""
+    q, v = (x.select(k, F.col("embedding").cast("array<double>").alias("e")).where("e is not null") for x, k in ((queries, "query_id"), (vectors, "id")))
+    best = _meetings(q, v, lambda ids, e: _Near(ids, e, n)).withColumnRenamed("score", "cos")
     return top_per_query(best, "cos", n).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "cos")
 
 
@@ -308,8 +320,8 @@ def retrieve(chunks: DataFrame, queries: DataFrame, scorer: Callable = overlap_s
     within = vectors if vectors is None or allowed is None else vectors.join(allowed, "id", "left_semi")
     sense = knn(within, query_vectors, pool).select("query_id", "id", "rank") if within is not None else words.limit(0)
     fused = rrf(sense, words).withColumn("s", F.round("score", 6) + F.col("in_first").cast("int") * 1e-9)
-    few = top_per_query(fused, "s", pool).select("query_id", "id")
+    few = cut(top_per_query(fused, "s", pool).select("query_id", "id"))  # pool rows a query
     c = few.join(chunks.select(F.col("chunk_id").alias("id"), "source", "chunk_index", "text", "doc_source"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     best = rerank(c, scorer, n, priority).select("query_id", "rank", "id", "source", "chunk_index", "confidence")
-    best = best.withColumn("weak", F.max("confidence").over(Window.partitionBy("query_id")) < WEAK)  # n rows a query
+    best = cut(best).withColumn("weak", F.max("confidence").over(Window.partitionBy("query_id")) < WEAK)  # n rows a query
     return best.join(with_neighbours(best, chunks, window), ["source", "chunk_index"]).select("query_id", "rank", "id", "source", "chunk_index", "confidence", "passage", "weak")

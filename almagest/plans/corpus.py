@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from almagest.operators import coverage, documents, retrieval
 from almagest.plans.registry import query
+from almagest.session import cut
 from almagest.sources.tables import chunks, latest_chunks, table
 
 TERMS = ["redshift|luminosity", "pulsar survey|magnetar", "star-forming", "bandpass|flux density", "RQN|HLX"]
@@ -268,9 +269,10 @@ PRIORITY = {"white_papers": 0.85}
 
 @query("r1_retrieve")
 def r1_retrieve(spark, d):
-    """Both legs over all chunks: words by BM25, meaning by hashed vectors."""
-    c = latest_chunks(spark, d)
-    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.concat_ws(" ", "heading", "text").alias("text"))
+    """Both legs over all chunks: words by BM25, meaning by hashed vectors. The
+    newest chunks and the queries are written once, since every step reads them."""
+    c = cut(latest_chunks(spark, d).select("chunk_id", "source", "chunk_index", "heading", "text", "doc_source"))
+    q = cut(c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.concat_ws(" ", "heading", "text").alias("text")))
     vectors = retrieval.hashed_vectors(c.select(F.col("chunk_id").alias("id"), "text"), "id", "text")
     asked = retrieval.hashed_vectors(q, "query_id", "text")
     return retrieval.retrieve(c, q, vectors=vectors, query_vectors=asked, window=1, priority=retrieval.priority_of(F.col("doc_source"), PRIORITY))

@@ -79,3 +79,30 @@ def test_lower_case_goes_letter_by_letter(spark):
     """As in the SQL: otherwise one word more or less moves the mean frequency and with it the scores."""
     got = spark.createDataFrame([("ΣΤΑΘΜΌΣ σταθμός İX",)], "text string").select(retrieval.tokens(retrieval.F.col("text"))).first()[0]
     assert got[:2] == ["σταθμόσ", "σταθμός"]
+
+
+def test_retrieval_keeps_its_plan_small(spark, data):
+    """The driver held a plan of over a hundred shuffles; steps that others read are written once."""
+    from almagest.plans import corpus
+
+    plan = corpus.r1_retrieve(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) <= 12
+
+
+def test_nearest_vectors_without_unusable_ones(spark):
+    r = random.Random(5)
+    v = {i: [float(r.randint(-2, 2)) for _ in range(3)] for i in range(1, 200)} | {200: None, 201: [0.0, 0.0, 0.0]}
+    rows = spark.createDataFrame(list(v.items()), "id bigint, embedding array<double>")
+    got = retrieval.knn(rows, rows.where("id in (3, 9, 200, 201)").withColumnRenamed("id", "query_id"), 8).collect()
+    norm = lambda x: math.sqrt(sum(y * y for y in x))
+    usable = {i: x for i, x in v.items() if x and norm(x)}
+    for q in (3, 9, 200, 201):
+        want = sorted(((-round(sum(a * b for a, b in zip(v[q], x)) / norm(x) / norm(v[q]), 6), i) for i, x in usable.items()), key=lambda t: t)[:8] if q in usable else []
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in want]
+
+
+def test_hashed_vectors_in_the_row(spark):
+    rows = spark.createDataFrame([(1, "a b A"), (2, ""), (3, None), (4, "b")], "id bigint, text string")
+    got = {r.id: r.embedding for r in retrieval.hashed_vectors(rows, "id", "text").collect()}
+    assert got[2] is None and got[3] is None and len(got[1]) == retrieval.PLACES and abs(sum(x * x for x in got[1]) - 1) < 1e-12
+    assert sorted(map(abs, got[4]))[-2:] == [0.0, 1.0]
